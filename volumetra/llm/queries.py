@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, packing, quality_classifier, quality_rules, secrets, sharding, toxicity
+from . import byte_bpe, fingerprints, katz, near_dedup, packing, quality_classifier, quality_rules, secrets, sharding, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.op1(table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.op2(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,9 +58,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.op10(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fingerprints, op3_quality, op4_byte_bpe, op5_secrets, op6_packing, op7_quality_rules, op8_sharding, op9_toxicity)
+    for f in (op1_fingerprints, op2_near_dedup, op3_quality, op4_byte_bpe, op5_secrets, op6_packing, op7_quality_rules, op8_sharding, op9_toxicity, op10_katz)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -2,5 +2,407 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions.vectors import Vec, pack_id
+from .operators import compare, histogram, join, populations
+from .operators.index import SpatialIndex
+from .operators.placement import first_free
+from .operators.shapes import Box, Cylinder, Sphere
+from .plans import layout
+from .plans.storage import shared_dir
+from .schema import BOUNDS, P1, P2, XYZ
+from .sources import builders
+from .streaming import standing_query
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- elements from the tables
+
+
+def pts(spark, d) -> SpatialIndex:
+    e = _table(spark, d, "embeddings")
+    return SpatialIndex.of(e.select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].alias(c) for i, c in enumerate(XYZ)]), "point")
+
+
+def spheres(spark, d) -> SpatialIndex:
+    e = _table(spark, d, "embeddings")
+    return SpatialIndex.of(e.select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].alias(c) for i, c in enumerate(XYZ)], F.abs(F.col("embedding")[3]).alias("radius")), "sphere")
+
+
+def spheres_grid(spark, d) -> SpatialIndex:
+    """Integer centres: boundaries are hit exactly."""
+    t = _table(spark, d, "lineitem")
+    return SpatialIndex.of(t.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("x"), F.round(F.col("l_discount") * 100).alias("y"), F.round(F.col("l_tax") * 100).alias("z"), F.lit(1.0).alias("radius")), "sphere")
+
+
+def synapses(spark, d) -> SpatialIndex:
+    t = _table(spark, d, "lineitem")
+    return SpatialIndex.of(t.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("pre_gid"), F.col("l_partkey").alias("post_gid"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_discount") * 100).alias("z"), "l_returnflag"), "synapse")
+
+
+def segments(spark, d) -> SpatialIndex:
+    """A segment for each embedding, and a soma for every tenth."""
+    e = _table(spark, d, "embeddings")
+    c = lambda i: F.col("embedding")[i]
+    seg = e.select(F.col("vec_id").alias("gid"), F.lit(1).alias("section_id"), F.lit(0).alias("segment_id"), *[c(i).alias(n) for i, n in enumerate((*P1, *P2))], F.abs(c(6)).alias("radius"), F.lit(2).alias("section_type"), F.lit(False).alias("is_soma"))
+    som = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("gid"), F.lit(0).alias("section_id"), F.lit(0).alias("segment_id"), *[c(7 + i).alias(n) for i, n in enumerate(P1)], *[F.lit(None).alias(n) for n in P2], F.abs(c(10)).alias("radius"), F.lit(1).alias("section_type"), F.lit(True).alias("is_soma"))
+    return SpatialIndex.of(seg.unionByName(som), "morphology")
+
+
+def trajectories(spark, d) -> DataFrame:
+    """Points of users' tracks through (value, k, second of the hour), in order of time."""
+    e = _table(spark, d, "events")
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.select(F.col("user_id").alias("gid"), F.lit(1).alias("section_id"), order.alias("point_idx"), F.col("value").cast("float").alias("x"), k.cast("float").alias("y"), (F.minute("ts") * 60 + F.second("ts")).cast("float").alias("z"), F.lit(1.0).cast("float").alias("radius"), F.lit(2).alias("section_type"))
+
+
+def windows(spark, d, half: float = 0.08) -> DataFrame:
+    """Every 50th point with a cube around it, as a table of query boxes."""
+    e = _table(spark, d, "embeddings").where("vec_id % 50 = 0")
+    at = [F.col("embedding")[i].cast("double") for i in range(3)]
+    return e.select(F.col("vec_id").alias("window"), *[(v - half).alias(f"a{c}") for c, v in zip(XYZ, at, strict=True)], *[(v + half).alias(f"b{c}") for c, v in zip(XYZ, at, strict=True)], *[v.alias(f"q{c}") for c, v in zip(XYZ, at, strict=True)])
+
+
+def window_box() -> Box:
+    return Box(Vec.of(["ax", "ay", "az"]), Vec.of(["bx", "by", "bz"]))
+
+
+# -- SQL of the same
+
+_XYZ = "embedding[1]::DOUBLE x, embedding[2]::DOUBLE y, embedding[3]::DOUBLE z"
+_PTS = f"pts AS (SELECT vec_id id, {_XYZ} FROM embeddings)"
+_SPHERES = f"spheres AS (SELECT vec_id id, {_XYZ}, abs(embedding[4]::DOUBLE) radius FROM embeddings)"
+_GRID = "grid AS (SELECT l_orderkey*8+l_linenumber id, l_quantity::FLOAT::DOUBLE x, round(l_discount*100)::FLOAT::DOUBLE y, round(l_tax*100)::FLOAT::DOUBLE z, 1.0::DOUBLE radius FROM lineitem)"
+_SYN = "syn AS (SELECT l_orderkey*8+l_linenumber id, l_suppkey pre_gid, l_partkey post_gid, l_quantity::FLOAT::DOUBLE x, (l_extendedprice/1000)::FLOAT::DOUBLE y, (l_discount*100)::FLOAT::DOUBLE z, l_returnflag FROM lineitem)"
+_SEG = (
+    "seg AS (SELECT vec_id gid, 1 section_id, 0 segment_id, embedding[1]::DOUBLE px, embedding[2]::DOUBLE py, embedding[3]::DOUBLE pz, embedding[4]::DOUBLE qx, embedding[5]::DOUBLE qy, embedding[6]::DOUBLE qz, abs(embedding[7]::DOUBLE) r FROM embeddings), "
+    "som AS (SELECT vec_id gid, 0 section_id, 0 segment_id, embedding[8]::DOUBLE x, embedding[9]::DOUBLE y, embedding[10]::DOUBLE z, abs(embedding[11]::DOUBLE) radius FROM embeddings WHERE vec_id % 10 = 0)"
+)
+_TRACK = "track AS (SELECT user_id gid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i, value::FLOAT x, coalesce((props->>'$.k')::DOUBLE, 0)::FLOAT y, (minute(ts)*60+second(ts))::FLOAT z FROM events)"
+_WIN = "win AS (SELECT vec_id AS \"window\", embedding[1]::DOUBLE-0.08 ax, embedding[2]::DOUBLE-0.08 ay, embedding[3]::DOUBLE-0.08 az, embedding[1]::DOUBLE+0.08 bx, embedding[2]::DOUBLE+0.08 b_y, embedding[3]::DOUBLE+0.08 bz, embedding[1]::DOUBLE qx, embedding[2]::DOUBLE qy, embedding[3]::DOUBLE qz FROM embeddings WHERE vec_id % 50 = 0)"
+_f = lambda v: f"({v}::FLOAT::DOUBLE)"
+
+
+def _gap(x: str, low: str, high: str) -> str:
+    return f"greatest({low} - {x}, 0, {x} - {high})"
+
+
+def _box_gap(low, high, names=("x", "y", "z")) -> str:
+    """Squared distance of a point and a box, by the gaps along the axes."""
+    return " + ".join(f"power({_gap(n, _f(a) if not isinstance(a, str) else a, _f(b) if not isinstance(b, str) else b)}, 2)" for n, a, b in zip(names, low, high, strict=True))
+
+
+def _away(c, names=("x", "y", "z")) -> str:
+    return " + ".join(f"power({n} - {_f(v) if not isinstance(v, str) else v}, 2)" for n, v in zip(names, c, strict=True))
+
+
+def _boxes_meet(low, high, r="radius", names=("x", "y", "z")) -> str:
+    return " AND ".join(f"{n} - {r} <= {_f(b) if not isinstance(b, str) else b} AND {n} + {r} >= {_f(a) if not isinstance(a, str) else a}" for n, a, b in zip(names, low, high, strict=True))
+
+
+LOW, HIGH = (-0.1, -0.12, -0.08), (0.11, 0.09, 0.1)
+CENTRE, RADIUS = (0.02, -0.03, 0.01), 0.12
+SYN_LOW, SYN_HIGH = (10.0, 20.0, 2.0), (30.0, 60.0, 7.0)
+GRID_LOW, GRID_HIGH = (10.0, 3.0, 2.0), (20.0, 6.0, 5.0)
+
+
+@query(f"WITH {_PTS} SELECT id, x::FLOAT x, y::FLOAT y, z::FLOAT z FROM pts WHERE " + " AND ".join(f"{n} > {_f(a)} AND {n} < {_f(b)}" for n, a, b in zip("xyz", LOW, HIGH, strict=True)))
+def point_box(spark, d):
+    return pts(spark, d).find(Box.of(LOW, HIGH)).select("id", *XYZ)
+
+
+@query(f"WITH {_PTS} SELECT id FROM pts WHERE {_away(CENTRE)} <= power({_f(RADIUS)}, 2)")
+def point_sphere(spark, d):
+    return pts(spark, d).sphere_query(CENTRE, RADIUS, fields="id")
+
+
+@query(f"WITH {_SPHERES} SELECT id, radius::FLOAT radius FROM spheres WHERE {_box_gap(LOW, HIGH)} <= radius*radius")
+def sphere_box_be(spark, d):
+    return spheres(spark, d).box_query(HIGH, LOW, fields=["id", "radius"])
+
+
+@query(f"WITH {_SPHERES} SELECT id FROM spheres WHERE {_boxes_meet(LOW, HIGH)}")
+def sphere_box_bb(spark, d):
+    return spheres(spark, d).box_query(LOW, HIGH, fields="id", accuracy="bounding_box")
+
+
+@query(f"WITH {_SPHERES} SELECT id FROM spheres WHERE sqrt({_away(CENTRE)}) <= radius + {_f(RADIUS)}")
+def sphere_sphere_be(spark, d):
+    return spheres(spark, d).sphere_query(CENTRE, RADIUS, fields="id")
+
+
+@query(f"WITH {_SPHERES} SELECT id FROM spheres WHERE {_box_gap(['(x - radius)', '(y - radius)', '(z - radius)'], ['(x + radius)', '(y + radius)', '(z + radius)'], [_f(v) for v in CENTRE])} <= power({_f(RADIUS)}, 2)")
+def sphere_sphere_bb(spark, d):
+    return spheres(spark, d).sphere_query(CENTRE, RADIUS, fields="id", accuracy="bounding_box")
+
+
+@query(f"WITH {_GRID} SELECT id, x::FLOAT x, y::FLOAT y, z::FLOAT z FROM grid WHERE {_box_gap(GRID_LOW, GRID_HIGH)} <= 1")
+def grid_box_touching(spark, d):
+    return spheres_grid(spark, d).find(Box.of(GRID_LOW, GRID_HIGH)).select("id", *XYZ)
+
+
+@query(f"WITH {_SYN} SELECT id, pre_gid, post_gid FROM syn WHERE {_box_gap(SYN_LOW, SYN_HIGH)} <= 0")
+def synapse_box(spark, d):
+    return synapses(spark, d).box_query(SYN_LOW, SYN_HIGH, fields=["id", "pre_gid", "post_gid"])
+
+
+@query(f"WITH {_SYN} SELECT count(*) n FROM syn WHERE {_box_gap(SYN_LOW, SYN_HIGH)} <= 0")
+def synapse_count(spark, d):
+    return synapses(spark, d).box_counts(SYN_LOW, SYN_HIGH)
+
+
+@query(f"WITH {_SYN} SELECT post_gid, count(*) n FROM syn WHERE {_box_gap(SYN_LOW, SYN_HIGH)} <= 0 GROUP BY post_gid")
+def synapse_count_by_post(spark, d):
+    return synapses(spark, d).box_counts(SYN_LOW, SYN_HIGH, group_by="post_gid")
+
+
+@query(f"WITH {_SYN} SELECT count(*) n FROM syn WHERE {_away((25.0, 30.0, 5.0))} <= power({_f(6.5)}, 2)")
+def synapse_sphere_count(spark, d):
+    return synapses(spark, d).sphere_counts((25.0, 30.0, 5.0), 6.5)
+
+
+_AXIAL = "SELECT *, ((cx-px)*(qx-px)+(cy-py)*(qy-py)+(cz-pz)*(qz-pz))/len a FROM (SELECT *, sqrt(power(qx-px,2)+power(qy-py,2)+power(qz-pz,2)) len, " + ", ".join(f"{_f(v)} c{n}" for n, v in zip("xyz", CENTRE, strict=True)) + f", {_f(RADIUS)} cr FROM seg)"
+_RADIAL = f"SELECT *, sqrt(greatest(0, power(cx-px,2)+power(cy-py,2)+power(cz-pz,2)-a*a)) rho FROM ({_AXIAL})"
+
+
+@query(f"WITH {_SEG} SELECT gid, section_id, segment_id FROM ({_RADIAL}) WHERE CASE WHEN a BETWEEN 0 AND len THEN rho <= r + cr ELSE power(greatest(-a, a-len),2) + power(greatest(0, rho-r),2) <= cr*cr END UNION ALL SELECT gid, section_id, segment_id FROM som WHERE sqrt({_away(CENTRE)}) <= radius + {_f(RADIUS)}")
+def segment_sphere_be(spark, d):
+    return segments(spark, d).sphere_query(CENTRE, RADIUS, fields=["gid", "section_id", "segment_id"])
+
+
+_SHARE = lambda n: f"r*sqrt(greatest(0, 1 - power(q{n}-p{n},2)/(1.1754943508222875e-38 + 1.1920928955078125e-07*greatest(r*r, px*px, py*py, pz*pz, qx*qx, qy*qy, qz*qz) + power(qx-px,2)+power(qy-py,2)+power(qz-pz,2))))"
+_SEGBOX = "segbox AS (SELECT gid, section_id, segment_id, " + ", ".join(f"least(p{n},q{n}) - {_SHARE(n)} min_{n}, greatest(p{n},q{n}) + {_SHARE(n)} max_{n}" for n in "xyz") + " FROM seg UNION ALL SELECT gid, section_id, segment_id, " + ", ".join(f"{n}-radius, {n}+radius" for n in "xyz") + " FROM som)"
+
+
+@query(f"WITH {_SEG}, {_SEGBOX} SELECT gid, section_id, segment_id FROM segbox WHERE " + " AND ".join(f"min_{n} <= {_f(b)} AND max_{n} >= {_f(a)}" for n, a, b in zip("xyz", LOW, HIGH, strict=True)))
+def segment_box_bb(spark, d):
+    return segments(spark, d).box_query(LOW, HIGH, fields=["gid", "section_id", "segment_id"], accuracy="bounding_box")
+
+
+_CUTS = ", ".join(f"least(1, greatest(0, ({_f(v)} - p{n}) / nullif(q{n}-p{n}, 0)))" for n, a, b in zip("xyz", LOW, HIGH, strict=True) for v in (a, b))
+_OUT = lambda n, a, b: f"(least(p{n} + t*(q{n}-p{n}) - {_f(a)}, 0) + greatest(p{n} + t*(q{n}-p{n}) - {_f(b)}, 0))"
+_OUTS = [_OUT(n, a, b) for n, a, b in zip("xyz", LOW, HIGH, strict=True)]
+_NEAR = (
+    f"cut AS (SELECT DISTINCT gid, px, py, pz, qx, qy, qz, r, t FROM (SELECT *, unnest([0.0::DOUBLE, 1.0::DOUBLE, {_CUTS}]) t FROM seg) WHERE t IS NOT NULL), "
+    f"slope AS (SELECT *, {' + '.join(f'{o}*(q{n}-p{n})' for n, o in zip('xyz', _OUTS, strict=True))} g FROM cut), "
+    "pair AS (SELECT *, lead(t) OVER w t2, lead(g) OVER w g2 FROM slope WINDOW w AS (PARTITION BY gid ORDER BY t)), "
+    "cand AS (SELECT gid, px, py, pz, qx, qy, qz, r, t FROM cut UNION ALL SELECT gid, px, py, pz, qx, qy, qz, r, t - g*(t2-t)/(g2-g) t FROM pair WHERE g < 0 AND g2 > 0), "
+    f"near AS (SELECT gid, any_value(r) r, min({' + '.join(f'power({o},2)' for o in _OUTS)}) m FROM cand GROUP BY gid)"
+)
+
+
+@query(f"WITH {_SEG}, {_NEAR}, {_SEGBOX} SELECT gid, 1 section_id, 0 segment_id FROM near JOIN segbox USING (gid) WHERE section_id = 1 AND (m < r*r OR m = 0) AND " + " AND ".join(f"min_{n} <= {_f(b)} AND max_{n} >= {_f(a)}" for n, a, b in zip("xyz", LOW, HIGH, strict=True)) + f" UNION ALL SELECT gid, section_id, segment_id FROM som WHERE {_box_gap(LOW, HIGH)} <= radius*radius")
+def segment_box_be(spark, d):
+    return segments(spark, d).box_query(LOW, HIGH, fields=["gid", "section_id", "segment_id"])
+
+
+@query()
+def segment_cylinder(spark, d):
+    return segments(spark, d).cylinder_query(LOW, HIGH, 0.05, fields=["gid", "section_id", "segment_id"])
+
+
+@query(f"WITH {_SEG} SELECT gid, section_id, segment_id, ((px+qx)/2)::FLOAT cx, ((py+qy)/2)::FLOAT cy, r::FLOAT radius, false is_soma FROM seg UNION ALL SELECT gid, section_id, segment_id, x::FLOAT, y::FLOAT, radius::FLOAT, true FROM som")
+def segment_fields(spark, d):
+    i = segments(spark, d)
+    rows = i.project(i.elements, ["gid", "section_id", "segment_id", "centroid", "radius", "is_soma"])
+    return rows.select("gid", "section_id", "segment_id", F.col("centroid")[0].alias("cx"), F.col("centroid")[1].alias("cy"), "radius", "is_soma")
+
+
+@query(f"WITH {_SPHERES}, {_WIN} SELECT \"window\", id FROM win, spheres WHERE {_box_gap(['ax', 'ay', 'az'], ['bx', 'b_y', 'bz'])} <= radius*radius AND {_boxes_meet(['ax', 'ay', 'az'], ['bx', 'b_y', 'bz'])}")
+def spatial_join_boxes(spark, d):
+    return join.spatial_join(spheres(spark, d), windows(spark, d), window_box()).select("window", "id")
+
+
+@query(f"WITH {_SYN}, q AS (SELECT n_nationkey k, (n_nationkey*2)::FLOAT::DOUBLE a FROM nation) SELECT k, count(id) n FROM q LEFT JOIN syn ON x BETWEEN a AND a+5 AND y BETWEEN a AND a+20 AND z BETWEEN 2 AND 6 GROUP BY k")
+def batch_box_counts(spark, d):
+    q = _table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") * 2).cast("double").alias("a"))
+    a = F.col("a")
+    return join.batch_counts(synapses(spark, d), q, Box(Vec(a, a, F.lit(2.0)), Vec(a + 5, a + 20, F.lit(6.0))), "k")
+
+
+@query(f"WITH {_PTS}, {_WIN} SELECT \"window\" FROM win WHERE NOT EXISTS (SELECT 1 FROM pts WHERE x > ax+0.3 AND x < bx+0.3 AND y > ay AND y < b_y AND z > az AND z < bz)")
+def empty_windows(spark, d):
+    q = windows(spark, d)
+    shifted = Box(Vec(F.col("ax") + 0.3, F.col("ay"), F.col("az")), Vec(F.col("bx") + 0.3, F.col("by"), F.col("bz")))
+    return join.empty(pts(spark, d), q, shifted, "window").select("window")
+
+
+@query(f"WITH {_PTS}, {_WIN} SELECT \"window\" FROM win WHERE EXISTS (SELECT 1 FROM pts WHERE x > ax+0.3 AND x < bx+0.3 AND y > ay AND y < b_y AND z > az AND z < bz)")
+def non_empty_windows(spark, d):
+    q = windows(spark, d)
+    shifted = Box(Vec(F.col("ax") + 0.3, F.col("ay"), F.col("az")), Vec(F.col("bx") + 0.3, F.col("by"), F.col("bz")))
+    return join.non_empty(pts(spark, d), q, shifted, "window").select("window")
+
+
+@query(f"WITH {_SPHERES} SELECT count(*) = 0 AS empty FROM spheres WHERE {_box_gap((0.9, 0.9, 0.9), (1.0, 1.0, 1.0))} <= radius*radius")
+def empty_box(spark, d):
+    return spark.createDataFrame([(spheres(spark, d).box_empty((0.9, 0.9, 0.9), (1.0, 1.0, 1.0)),)], "empty boolean")
+
+
+_SPHERE_BOX_GAP = " + ".join(f"power(greatest({n}-radius-{{c{n}}}, 0, {{c{n}}}-{n}-radius), 2)" for n in "xyz")
+
+
+@query(f"WITH {_SPHERES} SELECT id FROM spheres ORDER BY " + _SPHERE_BOX_GAP.format(cx=_f(0.01), cy=_f(0.02), cz=_f(0.03)) + ", id LIMIT 10")
+def knn_k10(spark, d):
+    return spheres(spark, d).nearest((0.01, 0.02, 0.03), 10).select("id")
+
+
+@query(f"WITH {_PTS}, {_WIN} SELECT \"window\", id, rank FROM (SELECT \"window\", id, (row_number() OVER (PARTITION BY \"window\" ORDER BY {_away(['qx', 'qy', 'qz'])}, id))::INTEGER rank FROM win, pts) WHERE rank <= 5")
+def knn_batch(spark, d):
+    return join.batch_nearest(pts(spark, d), windows(spark, d), ["qx", "qy", "qz"], "window", 5).select("window", "id", "rank")
+
+
+@query(f"WITH {_SPHERES} SELECT " + ", ".join(f"round(min({n}-radius), 6) min_{n}, round(max({n}+radius), 6) max_{n}" for n in "xyz") + " FROM spheres")
+def bounds(spark, d):
+    return spheres(spark, d).bounds().select(*[F.round(c, 6).alias(c) for c in BOUNDS])
+
+
+@query(f"WITH {_SYN} SELECT count(*) n FROM syn")
+def size(spark, d):
+    return synapses(spark, d).size()
+
+
+@query(f"WITH {_SEG} SELECT gid, section_id, segment_id FROM seg UNION ALL SELECT gid, section_id, segment_id FROM som")
+def all_ids(spark, d):
+    return segments(spark, d).all_ids()
+
+
+@query(f"WITH {_SYN} SELECT id, post_gid, p_brand, p_size, s_name FROM syn LEFT JOIN part ON p_partkey = post_gid LEFT JOIN supplier ON s_suppkey = pre_gid WHERE {_box_gap(SYN_LOW, SYN_HIGH)} <= 0")
+def attr_join(spark, d):
+    part = _table(spark, d, "part").select(F.col("p_partkey"), "p_brand", "p_size")
+    supplier = _table(spark, d, "supplier").select("s_suppkey", "s_name")
+    index = synapses(spark, d).with_attributes(part, "p_partkey", "post_gid").with_attributes(supplier, "s_suppkey", "pre_gid")
+    return index.box_query(SYN_LOW, SYN_HIGH, fields=["id", "post_gid", "p_brand", "p_size", "s_name"])
+
+
+@query(f"WITH {_SYN} SELECT l_returnflag population, id FROM syn WHERE l_returnflag IN ('A', 'R') AND {_box_gap(SYN_LOW, SYN_HIGH)} <= 0")
+def population_boxes(spark, d):
+    all_ = populations.Populations.of(synapses(spark, d).elements, "synapse", "l_returnflag")
+    return all_.together(lambda i: i.box_query(SYN_LOW, SYN_HIGH, fields="id"), ["A", "R"]).select("population", "id")
+
+
+@query(f"WITH {_SYN} SELECT l_returnflag population, count(*) n FROM syn WHERE {_away((25.0, 30.0, 5.0))} <= power({_f(6.5)}, 2) GROUP BY l_returnflag")
+def population_counts(spark, d):
+    all_ = populations.Populations.of(synapses(spark, d).elements, "synapse", "l_returnflag")
+    return all_.together(lambda i: i.sphere_counts((25.0, 30.0, 5.0), 6.5)).where("n > 0").select("population", "n")
+
+
+@query(f"WITH {_SYN} SELECT id, post_gid FROM syn WHERE post_gid IN (SELECT p_partkey FROM part WHERE p_size = 10)")
+def select_targets(spark, d):
+    t = _table(spark, d, "lineitem")
+    edges = t.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("edge_id"), F.col("l_suppkey").alias("source_node"), F.col("l_partkey").alias("target_node"), F.col("l_quantity").alias("afferent_center_x"), (F.col("l_extendedprice") / 1000).alias("afferent_center_y"), (F.col("l_discount") * 100).alias("afferent_center_z"))
+    targets = _table(spark, d, "part").where("p_size = 10").select("p_partkey")
+    return builders.synapses_from_edges(edges, target_gids=targets).elements.select("id", "post_gid")
+
+
+_STR = "a AS (SELECT *, ntile(3) OVER (ORDER BY x, y, z, id) - 1 i FROM pts), b AS (SELECT *, ntile(2) OVER (PARTITION BY i ORDER BY y, z, x, id) - 1 j FROM a), c AS (SELECT *, ntile(4) OVER (PARTITION BY i, j ORDER BY z, x, y, id) - 1 k FROM b)"
+
+
+@query(f"WITH {_PTS}, {_STR} SELECT id, ((i*2+j)*4+k)::BIGINT part_id FROM c")
+def str_parts(spark, d):
+    return layout.str_parts(pts(spark, d).elements, "point", (3, 2, 4)).select("id", "part_id")
+
+
+@query(f"WITH {_PTS}, {_STR} SELECT ((i*2+j)*4+k)::BIGINT part_id, count(*) n_elements, min(x) min_x, max(x) max_x, min(z) min_z, max(z) max_z FROM c GROUP BY 1")
+def str_manifest(spark, d):
+    tiled = layout.str_parts(pts(spark, d).elements, "point", (3, 2, 4))
+    return layout.manifest_of(tiled, "point").select("part_id", "n_elements", "min_x", "max_x", "min_z", "max_z")
+
+
+@query(f"WITH {_SPHERES} SELECT id FROM spheres WHERE {_box_gap(LOW, HIGH)} <= radius*radius")
+def stored_box(spark, d):
+    """Written in parts, opened again, and queried with pruning."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    layout.write(spheres(spark, d), path, (2, 2, 2))
+    return layout.open_index(spark, path).box_query(LOW, HIGH, fields="id")
+
+
+@query(f"WITH {_TRACK}, nxt AS (SELECT gid, i-1 segment_id, x, y, z, lead(x) OVER w x2, lead(y) OVER w y2, lead(z) OVER w z2 FROM track WINDOW w AS (PARTITION BY gid ORDER BY i)) SELECT gid, segment_id::INTEGER segment_id, x p1_x, y p1_y, z p1_z, x2 p2_x, y2 p2_y, z2 p2_z, 1::FLOAT radius FROM nxt WHERE x2 IS NOT NULL")
+def branch_assembly(spark, d):
+    return builders.branches(trajectories(spark, d)).select("gid", "segment_id", *P1, *P2, "radius")
+
+
+@query(f"WITH {_TRACK} SELECT gid, x, y, z FROM track WHERE i = 1")
+def soma_assembly(spark, d):
+    first = trajectories(spark, d).where("point_idx = 1")
+    return builders.somas(first).select("gid", F.col("p1_x").alias("x"), F.col("p1_y").alias("y"), F.col("p1_z").alias("z"))
+
+
+_EDGES = "[" + ", ".join(repr(e) + "::DOUBLE" for e in histogram.log10_bins()) + "]"
+
+
+@query(f"WITH {_SEG}, len AS (SELECT sqrt(power(qx-px,2)+power(qy-py,2)+power(qz-pz,2)) v FROM seg), b AS (SELECT len(list_filter({_EDGES}, lambda e: e <= v)) bin FROM len) SELECT g.bin::INTEGER bin, count(b.bin) n FROM (SELECT unnest(range(0, 58)) bin) g LEFT JOIN b ON b.bin = g.bin GROUP BY g.bin")
+def length_histogram(spark, d):
+    return histogram.segment_length_histogram(segments(spark, d))
+
+
+@query()
+def placement(spark, d):
+    move = first_free(spheres(spark, d), ((-0.2, -0.2, -0.2), (0.2, 0.2, 0.2)), Sphere.of((0.0, 0.0, 0.0), 0.02))
+    return spark.createDataFrame([move or (None, None, None)], "dx double, dy double, dz double")
+
+
+@query(f"WITH {_SPHERES}, {_WIN} SELECT \"window\", id FROM win, spheres WHERE id % 7 = 0 AND {_box_gap(['ax', 'ay', 'az'], ['bx', 'b_y', 'bz'])} <= radius*radius AND {_boxes_meet(['ax', 'ay', 'az'], ['bx', 'b_y', 'bz'])}")
+def compare_missing(spark, d):
+    """What an index without some elements lacks in windows."""
+    whole = spheres(spark, d)
+    fewer = SpatialIndex.of(whole.elements.where("id % 7 <> 0"), "sphere")
+    return compare.missing_in_windows(whole, fewer, windows(spark, d)).select("window", "id")
+
+
+@query(f"WITH {_SEG} SELECT gid, (gid::BIGINT << 28) | (section_id::BIGINT << 14) | segment_id::BIGINT packed FROM seg")
+def pack_ids(spark, d):
+    return segments(spark, d).elements.where("not is_soma").select("gid", pack_id(F.col("gid"), F.col("section_id"), F.col("segment_id")).alias("packed"))
+
+
+@query()
+def hilbert_order(spark, d):
+    return layout.hilbert_order(pts(spark, d).elements, "point").select("id", "hilbert")
+
+
+@query(f"WITH {_SPHERES} SELECT id FROM spheres UNION ALL SELECT 1000000 + id FROM spheres WHERE id < 10")
+def insert_rows(spark, d):
+    i = spheres(spark, d)
+    return i.insert(i.elements.where("id < 10").withColumn("id", F.col("id") + 1000000)).all_ids()
+
+
+@query(f"WITH {_SPHERES} SELECT id, sqrt({_away(CENTRE)}) <= {_f(RADIUS)} AS inside FROM spheres")
+def contains_centres(spark, d):
+    s = Sphere.of(CENTRE, RADIUS)
+    return spheres(spark, d).elements.select("id", s.contains(Vec.of(XYZ)).alias("inside"))
+
+
+@query(f"WITH {_SYN} SELECT id FROM syn WHERE {_box_gap(SYN_LOW, SYN_HIGH)} <= 0")
+def standing_box(spark, d):
+    return standing_query(synapses(spark, d).elements, "synapse", Box.of(SYN_LOW, SYN_HIGH)).select("id")
+
+
+@query()
+def segment_join_cylinders(spark, d):
+    """Segments against segments, as capsules."""
+    a = segments(spark, d)
+    q = a.elements.where("gid % 20 = 0 and not is_soma").select(F.col("gid").alias("query"), *[F.col(c).alias(f"s_{c}") for c in (*P1, *P2)], F.col("radius").alias("s_radius"))
+    shape = Cylinder.of([f"s_{c}" for c in P1], [f"s_{c}" for c in P2], "s_radius")
+    return join.spatial_join(a, q, shape).select("query", "gid", "section_id", "segment_id")

@@ -149,9 +149,27 @@ def test_odd_sketch_estimates():
         for _ in range(40):
             common, n = rng.integers(0, 1 << 63, int(1000 * share), dtype=np.uint64), int(1000 * (1 - share) / 2)
             a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, n, dtype=np.uint64)])) for _ in range(2))
-            bits = [np.frombuffer(near_dedup.odd_sketch(near_dedup.minhash(near_dedup.mix(x))), np.uint8) for x in (a, b)]
-            near.append(near_dedup.estimate(np.bitwise_count(bits[0] ^ bits[1]).sum()))
-        assert abs(np.mean(near) - share) < 0.03
+            a, b = a[:400], b[:400]
+            bits = [np.frombuffer(near_dedup.odd_sketch(x), np.uint8) for x in (a, b)]
+            differ = np.bitwise_count(bits[0] ^ bits[1]).sum()
+            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            near.append(near_dedup.estimate(differ, 400, 400) - true)
+            assert differ <= len(np.setxor1d(a, b))
+        assert abs(np.mean(near)) < 0.01
+
+
+@pytest.mark.parametrize("sizes", [(300, 300), (2000, 2000), (2000, 1700), (1000, 820), (550, 450)])
+def test_sketches_drop_no_link(sizes):
+    """Pairs at the bound of similarity, of equal and unequal sizes, pass."""
+    rng = np.random.default_rng(5)
+    a_size, b_size = sizes
+    common = math.ceil(0.8 * (a_size + b_size) / 1.8)
+    if common <= min(sizes):
+        for _ in range(200):
+            both = rng.integers(0, 1 << 63, common, dtype=np.uint64) * np.uint64(2)
+            a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, n - common, dtype=np.uint64) * np.uint64(2)])) for n in sizes)
+            bits = [np.frombuffer(near_dedup.odd_sketch(near_dedup.np.sort(near_dedup.mix(x))), np.uint8) for x in (a, b)]
+            assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= near_dedup.most_bits(float(a_size), float(b_size), 80, min, math.sqrt)
 
 
 def test_keep_one(spark):

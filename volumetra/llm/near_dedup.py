@@ -2,18 +2,22 @@
 
 A document's set is its distinct 2-word shingles. Documents of equal sets form a
 class, stood for by its smallest doc_id. ``SAMPLES`` MinHash values in ``BANDS``
-bands propose candidates; folded into a parity bitmap of ``BITS`` bits (the odd
-sketch), the population count of two bitmaps' XOR estimates the similarity, and
-pairs whose estimate is far below the bound are dropped; the others are confirmed
-on their full sets. With 32 bands of 4, a pair at the bound of 0.8 shares no band
-with a probability of 5e-8, and is lost by its sketch with less than 1e-6.
+bands propose candidates. The ``LOWEST`` smallest hashes (bottom-k MinHash
+samples; smaller sets give all) are folded into a parity bitmap of ``BITS`` bits,
+the odd sketch: the population count of two bitmaps' XOR never exceeds, and nearly
+equals, the number of samples in one set only. Pairs beyond what similarity 0.8
+and their sizes let expect, by six deviations, are dropped; the others are
+confirmed on their full sets. With 32 bands of 4, a pair at the bound shares no
+band with a probability of 5e-8, and its sketch drops it with less than 1e-7
+(never, for sets of up to ``LOWEST``).
 
 No group is expanded into pairs. First each band's members are held against its
 smallest one (a star). Components of confirmed links follow. Where a band still
 holds several components, its members outside the smallest one's component are
-held against all of its members, in blocks of ``BLOCK`` by bitmaps, and what
-passes is confirmed likewise: so every pair that shares a band is in one
-component or has been compared.
+held against all of its members, in blocks of ``BLOCK`` by bitmaps: first a
+spanning forest of what passes in a block is confirmed, then, for bands that still
+hold several components, all that passes. So every pair that shares a band is in
+one component or has been compared.
 
 Texts without words, and null ones, have an empty set and no links. Rows that
 share a doc_id are one node; a row with a null doc_id has a null component and
@@ -36,9 +40,7 @@ from .words import WordHasher, mix, pair
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-BITS = 512
-#: The largest population count that a pair may have: 25.6 of 128 samples differ at 0.8; 54 (six deviations and more) still pass.
-MOST_BITS = 110
+LOWEST, BITS = 512, 2048
 LINK = 80
 BLOCK = 1024
 #: Ids are broadcast up to this many (8 bytes each); beyond it they are joined.
@@ -77,9 +79,24 @@ def minhash(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def odd_sketch(samples: np.ndarray) -> bytes:
-    at = mix(samples.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))) % np.uint64(BITS)
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+def odd_sketch(found: np.ndarray) -> bytes:
+    """Parity bitmap of the LOWEST smallest of sorted distinct hashes."""
+    at = (found[:LOWEST] & np.uint64(BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def most_bits(a, b, link: int, least, root):
+    """The largest population count of a pair of sets of sizes a and b with 100 * similarity >= link.
+
+    Of a set of n, the samples are those below the share min(1, LOWEST / n) of the
+    hash range. Below the lesser share t both sets are seen, beyond it one of them.
+    Works on arrays and on columns, by ``least`` and ``root``.
+    """
+    common = (a + b) * (link / (100.0 + link))
+    k_a, k_b = least(a, LOWEST), least(b, LOWEST)
+    t = least(k_a / a, k_b / b)
+    differ = (a + b - 2 * common) * t + (k_a - a * t) + (k_b - b * t)
+    return differ + 6 * root((differ + 4) * (1 - t)) + 1e-6
 
 
 def bands(samples: np.ndarray) -> np.ndarray:
@@ -90,9 +107,10 @@ def bands(samples: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def estimate(differing_bits: np.ndarray) -> np.ndarray:
-    """Similarity estimated from the population count of two sketches' XOR."""
-    return 1 + BITS / (4 * SAMPLES) * np.log(np.maximum(1 - 2 * differing_bits / BITS, 1e-9))
+def estimate(differing_bits, a, b):
+    """Similarity estimated from the population count of two whole sets' sketches' XOR."""
+    differ = -BITS / 2 * np.log(np.maximum(1 - 2 * differing_bits / BITS, 1e-9))
+    return (a + b - differ) / (a + b + differ)
 
 
 def sketches(docs: DataFrame, size: int = 2) -> DataFrame:
@@ -106,7 +124,7 @@ def sketches(docs: DataFrame, size: int = 2) -> DataFrame:
                 found = shingles(hasher(text or ""), size)
                 if len(found):
                     samples = minhash(found)
-                    rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), bands(samples), odd_sketch(samples)))
+                    rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), bands(samples), odd_sketch(found)))
                 else:
                     rows.append((0, None, None, None))
             out = pd.DataFrame(rows, columns=["n_shingles", "digest", "bands", "sketch"])
@@ -153,8 +171,25 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of different components, by size and sketch, within each run of rows of one block."""
+def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        if x != y:
+            parent[x] = y
+            out.append((a, b))
+    return out
+
+
+def _across(link: int, whole: bool):
+    """Pairs of different components, by size and sketch, within each run of rows of one block; ``whole``: all of them, else a forest."""
 
     def pairs(g: pd.DataFrame) -> list[tuple[int, int]]:
         row, col = g[g["as_row"]], g[~g["as_row"]]
@@ -163,25 +198,47 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = [np.frombuffer(b"".join(x["sketch"]), dtype=np.uint64).reshape(len(x), -1) for x in (row, col)]
         size, part, key = ((row[c].to_numpy(), col[c].to_numpy()) for c in ("n", "component", "rep"))
         out = []
-        for at in range(0, len(row), 128):
-            end = at + 128
-            ok = (part[0][at:end, None] != part[1]) & (100 * np.minimum(size[0][at:end, None], size[1]) >= LINK * np.maximum(size[0][at:end, None], size[1]))
+        for at in range(0, len(row), 64):
+            end = at + 64
+            ok = (part[0][at:end, None] != part[1]) & (100 * np.minimum(size[0][at:end, None], size[1]) >= link * np.maximum(size[0][at:end, None], size[1]))
             i, j = np.nonzero(ok)
-            near = np.bitwise_count(bits[0][at + i] ^ bits[1][j]).sum(1) <= MOST_BITS
-            out += list(zip(key[0][at + i[near]].tolist(), key[1][j[near]].tolist(), strict=True))
+            most = most_bits(size[0][at + i].astype(float), size[1][j].astype(float), link, np.minimum, np.sqrt)
+            near = np.bitwise_count(bits[0][at + i] ^ bits[1][j]).sum(1) <= most
+            found = list(zip(key[0][at + i[near]].tolist(), key[1][j[near]].tolist(), strict=True))
+            out = out + found if whole else _forest(out + found)
         return out
 
-    rest = None
-    keys = ["key", "i", "j"]
-    for batch in batches:
-        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        cut = np.flatnonzero((batch[keys].to_numpy()[1:] != batch[keys].to_numpy()[:-1]).any(1)) + 1
-        edges = [0, *cut.tolist()]
-        found = [p for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1 for p in pairs(batch.iloc[a:b])]
-        rest = batch.iloc[edges[-1] :]
-        yield pd.DataFrame([(min(p), max(p)) for p in found], columns=["a", "b"], dtype="int64")
-    if rest is not None and len(rest):
-        yield pd.DataFrame([(min(p), max(p)) for p in pairs(rest)], columns=["a", "b"], dtype="int64")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        keys = ["key", "i", "j"]
+        for batch in batches:
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            cut = np.flatnonzero((batch[keys].to_numpy()[1:] != batch[keys].to_numpy()[:-1]).any(1)) + 1
+            edges = [0, *cut.tolist()]
+            found = [p for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1 for p in pairs(batch.iloc[a:b])]
+            rest = batch.iloc[edges[-1] :]
+            found = list(dict.fromkeys((min(p), max(p)) for p in found))
+            yield pd.DataFrame(found if whole else _forest(found), columns=["a", "b"], dtype="int64")
+        if rest is not None and len(rest):
+            yield pd.DataFrame([(min(p), max(p)) for p in pairs(rest)], columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _between(members: DataFrame, reps: DataFrame, found: DataFrame, link: int, whole: bool) -> DataFrame:
+    """Candidates (a, b) of bands that hold several components."""
+    state = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    leads = found.select(F.col("id").alias("leader"), F.col("component").alias("main"))
+    state = saved(state.join(leads, "leader", "left").withColumn("main", F.coalesce("main", "leader")).where("m > 2"))
+    outside = state.where("component <> main").groupBy("key").agg(F.count("*").alias("u"))
+    open_ = state.join(outside, "key").join(reps.select("rep", "n", "sketch"), "rep")
+    nb = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    own = ["rep", "n", "component", "sketch"]
+    block = F.pmod(F.xxhash64("rep"), nb("m")).cast("int")
+    as_col = open_.where("rep <> leader").select("key", F.explode(F.sequence(F.lit(0), nb("u") - 1)).alias("i"), block.alias("j"), F.lit(False).alias("as_row"), *own)
+    as_row = open_.where("component <> main").select("key", F.pmod(F.xxhash64("rep"), nb("u")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), nb("m") - 1)).alias("j"), F.lit(True).alias("as_row"), *own)
+    blocks = as_row.unionByName(as_col).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return blocks.mapInPandas(_across(link, whole), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, link: int = LINK) -> DataFrame:
@@ -201,25 +258,18 @@ def near_duplicates(docs: DataFrame, size: int = 2, link: int = LINK) -> DataFra
     star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     star = star.join(side("b"), "b").join(side("a"), "a").where(f"100 * least(n_a, n_b) >= {link} * greatest(n_a, n_b)")
     # Four bytes of the bitmaps at a time.
-    word = lambda c, k: F.conv(F.hex(F.substring(c, k, 4)), 16, 10).cast("long")
-    differing = functools.reduce(lambda x, y: x + y, [F.bit_count(word("sketch_a", k).bitwiseXOR(word("sketch_b", k))) for k in range(1, BITS // 8, 4)])
-    star = star.where(differing <= MOST_BITS).select("a", "b").distinct()
+    word = lambda c, k: F.conv(F.hex(F.substring(c, F.lit(k) if isinstance(k, int) else k, F.lit(4))), 16, 10).cast("long")
+    differing = F.aggregate(F.sequence(F.lit(1), F.lit(BITS // 8), F.lit(4)), F.lit(0), lambda n, k: n + F.bit_count(word(F.col("sketch_a"), k).bitwiseXOR(word(F.col("sketch_b"), k))))
+    column = lambda x: x if not isinstance(x, int) else F.lit(float(x))
+    most = most_bits(F.col("n_a").cast("double"), F.col("n_b").cast("double"), link, lambda x, y: F.least(x, column(y)), lambda x: F.sqrt(F.greatest(F.lit(0.0), x)))
+    star = star.where(differing <= most).select("a", "b").distinct()
     links = saved(confirmed(star, docs, size, link))
     found = components(links)
-    # Bands that still hold several components.
-    state = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    leads = found.select(F.col("id").alias("leader"), F.col("component").alias("main"))
-    state = saved(state.join(leads, "leader", "left").withColumn("main", F.coalesce("main", "leader")))
-    outside = state.where("component <> main").groupBy("key").agg(F.count("*").alias("u"))
-    open_ = state.where("m > 2").join(outside, "key").join(reps.select("rep", "n", "sketch"), "rep")
-    nb = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("rep"), nb("m")).cast("int")
-    as_col = open_.where("rep <> leader").select("key", F.explode(F.sequence(F.lit(0), nb("u") - 1)).alias("i"), block.alias("j"), F.lit(False).alias("as_row"), "rep", "n", "component", "sketch")
-    as_row = open_.where("component <> main").select("key", F.pmod(F.xxhash64("rep"), nb("u")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), nb("m") - 1)).alias("j"), F.lit(True).alias("as_row"), "rep", "n", "component", "sketch")
-    blocks = as_row.unionByName(as_col).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = saved(confirmed(blocks.mapInPandas(_across, "a long, b long").distinct(), docs, size, link))
-    if not more.isEmpty():
-        found = components(links.union(more))
+    for whole in (False, True):
+        more = saved(confirmed(_between(members, reps, found, link, whole), docs, size, link))
+        if not more.isEmpty():
+            links = links.union(more)
+            found = components(links)
     out = rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -178,10 +178,10 @@ def fractional(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[
     used: dict[bytes, float] = {}
     weight = np.zeros(len(counts))
     for _ in range(rounds):
-        # Weights exp(-covered share / EPSILON), a length's price its weight over its count.
+        # A length's price: its size, which fills sequences, times a weight exp(-covered share / EPSILON).
         share = np.where(live, covered / np.maximum(counts, 1), np.inf)
-        weight[live] = np.exp(-(share[live] - share[live].min()) / EPSILON * np.log(live.sum() + 1.0))
-        config = price(np.where(live, weight / np.maximum(counts, 1), 0.0), counts, capacity)
+        weight[live] = np.exp(-(share[live] - share[live].min()) / EPSILON)
+        config = price(np.where(live, weight * np.arange(len(counts)), 0.0), counts, capacity)
         inside = config > 0
         step = float((counts[inside] / config[inside]).min()) * EPSILON / 2
         covered[inside] += step * config[inside]

@@ -41,7 +41,7 @@ from .common import held_out, saved, slim
 from .words import WordHasher, pair
 
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000002)
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 10_000_000
 BUCKET_CHARS = 16_000_000
 #: Counts of counts up to this one enter the line.
 MOST_RANK = 40

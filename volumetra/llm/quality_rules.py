@@ -11,12 +11,13 @@ Null and empty texts have no words and fail. Repeated rows get equal results.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, slim, whole_text, word_array
+from .common import let, slim, whole_text, word_array
 
-SYMBOLS = "#*$%&|<>"
 GRAM = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
 LEAST_KEPT = 0.5
@@ -24,6 +25,8 @@ LEAST_KEPT = 0.5
 SENTENCE_END = r"""[.!?:;…。！？]["'”’»)\]]*\s*$"""
 NAVIGATION = r"(?i)\b(click here|read more|sign in|sign up|log ?in|next page|previous page|back to top|skip to content|main menu|add to cart|share this|follow us|site map)\b"
 BOILERPLATE = r"(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie policy|use cookies|enable javascript|lorem ipsum|subscribe to our newsletter|copyright \(c\)|powered by)\b"
+#: In lower case, one of these is in every text with a boilerplate phrase.
+PHRASES = ["rights reserved", "terms of", "policy", "use cookies", "javascript", "lorem ipsum", "newsletter", "copyright (c)", "powered by"]
 
 
 def repeated_words(words: Column) -> Column:
@@ -57,45 +60,47 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < GRAM, F.lit(0)).otherwise(let(F.struct(words.alias("w")), count))
 
 
-def _n_words(line: Column) -> Column:
-    return F.size(F.array_remove(F.split(line, WORD_SPLIT, -1), ""))
-
-
-WORD_SPLIT = r"[\x20\x09-\x0D]+"
+def _symbols(text: Column) -> Column:
+    return F.when(text.rlike("[#*$%&|<>]"), F.char_length(text) - F.char_length(F.regexp_replace(text, "[#*$%&|<>]", ""))).otherwise(F.lit(0))
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def _times(text: Column, part: str) -> Column:
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))) / len(part.encode())
 
 
-def line_passes(line: Column) -> Column:
-    """The rules for one line that has a word."""
+def line_passes(line: Column, doc: Column) -> Column:
+    """The rules for one line that has a word. ``doc`` tells whether the text has any symbols, !!, bars or phrases at all."""
 
     def judged(v: Column) -> Column:
         text, n = v["line"], v["n"]
-        symbols = F.char_length(text) - F.char_length(_without(text, SYMBOLS))
-        shouts = (F.char_length(text) - F.char_length(F.replace(text, F.lit("!!"), F.lit("")))) / 2
-        bars = F.char_length(text) - F.char_length(_without(text, "|»›•"))
-        punctuation = text.rlike(SENTENCE_END) & (symbols <= F.greatest(F.lit(3), n * 0.3)) & (shouts <= F.greatest(F.lit(2), n * 0.2))
-        navigation = (bars >= F.greatest(F.lit(3), n * 0.2)) | ((n <= 12) & text.rlike(NAVIGATION))
-        return punctuation & ~navigation & ~text.rlike(BOILERPLATE)
+        few_symbols = ~doc["symbols"] | (_symbols(text) <= F.greatest(F.lit(3), n * 0.3))
+        few_shouts = ~doc["shouts"] | (_times(text, "!!") <= F.greatest(F.lit(2), n * 0.2))
+        bars = _times(text, "|") + _times(text, "»") + _times(text, "›") + _times(text, "•")
+        few_bars = ~doc["bars"] | (bars < F.greatest(F.lit(3), n * 0.2))
+        ends = F.substring(F.rtrim(text), -8, 8).rlike(SENTENCE_END)
+        navigation = (n <= 12) & text.rlike(NAVIGATION)
+        return ends & few_symbols & few_shouts & few_bars & ~navigation & ~(doc["phrases"] & text.rlike(BOILERPLATE))
 
-    return let(F.struct(line.alias("line"), _n_words(line).alias("n")), judged)
+    return let(F.struct(line.alias("line"), (_times(line, " ") + 1).alias("n")), judged)
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """(_row, cleaned, the counts, base_failed, kept) for every input row."""
     text = F.col("text")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("lines", F.filter(F.split(text, "\n", -1), lambda x: _without(x, SPACES) != ""))
-    rows = rows.withColumn("good", F.filter("lines", line_passes)).withColumn("words", word_array(text))
-    measure = lambda lines: F.aggregate(lines, F.lit(0), lambda a, x: a + F.char_length(x))
+    rows = rows.withColumn("lines", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    low = F.lower(text)
+    phrases = let(F.struct(low.alias("t")), lambda v: functools.reduce(lambda a, b: a | b, [F.contains(v["t"], F.lit(p)) for p in PHRASES]))
+    doc = F.struct(text.rlike("[#*$%&|<>]").alias("symbols"), F.contains(text, F.lit("!!")).alias("shouts"), text.rlike("[|»›•]").alias("bars"), phrases.alias("phrases"))
+    good = let(F.struct(F.col("lines").alias("lines"), doc.alias("doc")), lambda v: F.filter(v["lines"], lambda x: line_passes(x, v["doc"])))
+    rows = rows.withColumn("good", good).withColumn("words", word_array(text))
+    measure = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.char_length(x))
     rows = rows.select(
         "_row",
         F.array_join("good", "\n").alias("cleaned"),
         F.size("words").cast("long").alias("n_words"),
-        F.char_length(_without(text, SPACES)).cast("long").alias("word_chars"),
-        (F.char_length(text) - F.char_length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
+        measure(F.col("words")).cast("long").alias("word_chars"),
+        _symbols(text).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
         (measure(F.col("good")) >= LEAST_KEPT * measure(F.col("lines"))).alias("_enough"),

@@ -136,6 +136,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
                         rows.append((*row, own) if with_ids else row)
                         start, size = start + size, capacity
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+        encode.cache.clear()  # a worker outlives its task
 
     return slim(docs).mapInPandas(run, schema)
 

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,22 +117,22 @@ def estimate(differing_bits, a, b):
 def sketches(docs: DataFrame, size: int = 2) -> DataFrame:
     """(doc_id, n_shingles, digest, bands, sketch); an empty set has neither digest, bands nor sketch."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                found = shingles(hasher(text or ""), size)
+                found = shingles(hasher(text.as_py() or ""), size)
                 if len(found):
                     samples = minhash(found)
                     rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), bands(samples), odd_sketch(found)))
                 else:
                     rows.append((0, None, None, None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "digest", "bands", "sketch"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-            yield out
+            types = {"n_shingles": pa.int64(), "digest": pa.binary(), "bands": pa.list_(pa.int64()), "sketch": pa.binary()}
+            found = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values())]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *found], ["doc_id", *types])
 
-    return slim(docs).mapInPandas(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
+    return slim(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, link: int) -> DataFrame:
@@ -142,18 +143,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, link: int) -> DataFr
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         own = functools.lru_cache(maxsize=16)(lambda text: shingles(hasher(text), size))
         for batch in batches:
             keep = []
-            for a, b in zip(batch["text_a"], batch["text_b"], strict=True):
-                x, y = own(a or ""), own(b or "")
+            for a, b in zip(batch["text_a"], batch["text_b"], strict=True):  # one pair's texts at a time leave the batch
+                x, y = own(a.as_py() or ""), own(b.as_py() or "")
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= link * (len(x) + len(y) - common) and common > 0)
-            yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long").distinct()
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

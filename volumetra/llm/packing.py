@@ -31,7 +31,9 @@ from .sharding import with_slots
 
 CAPACITY = 1024
 END_ID = 2
-CACHE = 500_000
+CACHE = 200_000
+#: Code points encoded at a time (one longer text is encoded whole).
+SLICE = 1_000_000
 #: In place of an encoding: the text with this word is encoded whole.
 ODD = b"odd"
 ROUNDS, EPSILON = 400, 0.25
@@ -114,6 +116,18 @@ def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
+def _slices(texts: list[str]) -> Iterator[slice]:
+    """Runs of texts of about SLICE code points, each text in one of them."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > SLICE:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(t) + 1
+    if texts:
+        yield slice(start, len(texts))
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32), and the ids if asked for."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
@@ -125,8 +139,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
             rows = []
             keys = batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
             texts = [t or "" for t in batch["text"]]
-            for at in range(0, len(texts), 2000):
-                for key, raw in zip(keys[at : at + 2000], encode(texts[at : at + 2000]), strict=True):
+            for part in _slices(texts):
+                for key, raw in zip(keys[part], encode(texts[part]), strict=True):
                     raw += end
                     n, start = len(raw) // 4, 0
                     size = n % capacity or capacity

@@ -159,6 +159,64 @@ def test_nearest(spark, spheres, tmp_path):
     assert {r["q"]: r["count"] for r in got} == {0: 400, 1: 400}
 
 
+def far_cubes(rng, n):
+    """(n, 3) of points and radii of very different sizes."""
+    return rng.uniform(-10, 10, (n, 3)).astype(np.float32), np.exp(rng.uniform(np.log(0.01), np.log(5), n)).astype(np.float32)
+
+
+def nearest_by_boxes(spark, index, points, k):
+    """What batch_nearest finds, and brute force over the boxes of all elements."""
+    q = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "q int, a double, b double, c double")
+    keys = join.KEYS[index.element_type]
+    got = {}
+    for r in join.batch_nearest(index, q, ["a", "b", "c"], "q", k).collect():
+        got.setdefault(r["q"], {})[r["rank"]] = tuple(r[c] for c in keys)
+    found = join.with_box(index.elements, join.element_shape(index.element_type), "e_").select(*keys, *[f"e_{c}" for c in join.BOUNDS]).collect()
+    table = np.array([r[len(keys) :] for r in found])
+    expected = {}
+    for i, p in enumerate(points):
+        gap = np.maximum(np.maximum(table[:, :3] - p, p - table[:, 3:]), 0)
+        order = sorted(zip((gap * gap).sum(1), [tuple(r[: len(keys)]) for r in found], strict=True))
+        expected[i] = {n + 1: key for n, (_, key) in enumerate(order[:k])}
+    return got, expected
+
+
+def test_batch_nearest_of_spheres_off_corners(spark):
+    # Half side 2.2 at first. The large sphere's box is 0.87 away; its body misses the cube, which the small one meets.
+    rows = [(0, 5.5, 5.5, 5.5, 5.0), (1, 1.2, 0.0, 0.0, 0.1), *[(2 + i, 10.0, 10.0, 0.01 * i, 0.1) for i in range(110)]]
+    index = SpatialIndex.of(spark.createDataFrame(rows, "id long, x float, y float, z float, radius float"), "sphere")
+    got, expected = nearest_by_boxes(spark, index, np.zeros((1, 3)), 1)
+    assert got == expected == {0: {1: (0,)}}
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_batch_nearest_of_spheres_of_mixed_radii(spark, k):
+    rng = np.random.default_rng(5)
+    centres, radii = far_cubes(rng, 1500)
+    rows = [(i, *map(float, c), float(r)) for i, (c, r) in enumerate(zip(centres, radii, strict=True))]
+    index = SpatialIndex.of(spark.createDataFrame(rows, "id long, x float, y float, z float, radius float"), "sphere")
+    got, expected = nearest_by_boxes(spark, index, rng.uniform(-25, 25, (300, 3)), k)
+    assert got == expected
+
+
+def test_batch_nearest_of_segments(spark):
+    rng = np.random.default_rng(6)
+    ends, radii = far_cubes(rng, 600)
+    others = ends + rng.normal(0, 2, (600, 3)).astype(np.float32)
+    rows = [(i, 1, 0, *map(float, a), *map(float, b), float(r), 2, False) for i, (a, b, r) in enumerate(zip(ends, others, radii, strict=True))]
+    index = SpatialIndex.of(spark.createDataFrame(rows, "gid long, section_id int, segment_id int, p1_x float, p1_y float, p1_z float, p2_x float, p2_y float, p2_z float, radius float, section_type int, is_soma boolean"), "morphology")
+    got, expected = nearest_by_boxes(spark, index, rng.uniform(-25, 25, (200, 3)), 2)
+    assert got == expected
+
+
+def test_batch_nearest_on_the_cubes_faces(spark):
+    # Half side 3 at first: of two points 3 away, the one with the smaller key lies on a face.
+    rows = [(0, 3.0, 0.0, 0.0), (1, 2.0, 2.0, 1.0), *[(2 + i, *[v] * 3) for i, v in enumerate([3.0, -3.0] * 3)]]
+    index = SpatialIndex.of(spark.createDataFrame(rows, "id long, x float, y float, z float"), "point")
+    got, expected = nearest_by_boxes(spark, index, np.zeros((1, 3)), 1)
+    assert got == expected == {0: {1: (0,)}}
+
+
 def test_stored_index(spark, spheres, tmp_path):
     path = str(tmp_path / "index")
     layout.write(spheres, path, (3, 2, 1))

@@ -95,8 +95,9 @@ def empty(index: SpatialIndex, queries: DataFrame, query, key: str, accuracy: st
 def batch_nearest(index: SpatialIndex, queries: DataFrame, point: list[str], key: str, k: int) -> DataFrame:
     """(key, element key, distance_sq, rank): the k elements nearest to each query point by their boxes, ties by key.
 
-    Cubes around the points grow until each holds k elements within its half
-    side: one join a round, for the queries still open.
+    Cubes around the points grow until each meets the boxes of k elements nearer
+    than its half side: one join a round, for the queries still open. Any element
+    whose box misses the cube is at least the half side away.
     """
     bounds = index.bounds().first()
     n = len(index)
@@ -109,14 +110,16 @@ def batch_nearest(index: SpatialIndex, queries: DataFrame, point: list[str], key
     corner = queries.agg(*[f(c).alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i, c in enumerate(point)]).first()
     far = [max(abs(v) for v in (bounds[f"max_{c}"], bounds[f"min_{c}"], corner[f"min{i}"] or 0, corner[f"max{i}"] or 0)) for i, c in enumerate("xyz")]
     most = 4 * max(far) + 1
-    away = element_shape(index.element_type).box().distance_sq(p)
+    shape = element_shape(index.element_type)
+    away = shape.box().distance_sq(p)
+    elements = with_box(index.elements.drop(*BOUNDS), shape, "e_")
     done, open_ = None, queries.select(key, *point)
     while True:
         last = reach >= most
-        near = spatial_join(index, open_, Box(p - F.lit(reach), p + F.lit(reach)))
+        near = box_pairs(with_box(open_, Box(p - F.lit(reach), p + F.lit(reach)), "q_"), elements)
         near = near.select(key, *keys, away.alias("distance_sq"))
         ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance_sq", *keys))).where(F.col("rank") <= k)
-        full = ranked if last else ranked.join(ranked.where((F.col("rank") == min(k, n)) & (F.col("distance_sq") <= reach**2)).select(key), key, "left_semi")
+        full = ranked if last else ranked.join(ranked.where((F.col("rank") == min(k, n)) & (F.col("distance_sq") < reach**2)).select(key), key, "left_semi")
         full = saved(full)
         done = full if done is None else done.unionByName(full)
         if last:

@@ -188,6 +188,31 @@ def test_classifiers_on_held_out_rows(spark):
     assert held_out_accuracy(toxicity.op9(docs, labels), labels, "toxic") > 0.85
 
 
+def test_quality_alone_and_in_batches(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = {
+        "table": rng.normal(0, 0.5, (256, quality_classifier.DIM)).astype(np.float32),
+        "filters": rng.normal(0, 0.2, (quality_classifier.WIDTH * quality_classifier.DIM, quality_classifier.FILTERS)).astype(np.float32),
+        "bias": np.zeros(quality_classifier.FILTERS, dtype=np.float32),
+        "top": rng.normal(0, 1, quality_classifier.FILTERS).astype(np.float32),
+        "shift": np.zeros(1, dtype=np.float32),
+    }
+    texts = ["".join(map(chr, rng.integers(33, 127, n))) for n in [0, 1, 5, 240, 248, 249, 256, 500, 504, 505, 760, 1016, 5000, 70_000] * 3]
+    alone = [quality_classifier.document_logits([t], model)[0] for t in texts]
+    assert np.allclose(quality_classifier.document_logits(texts, model), alone, atol=1e-5)
+    assert np.allclose(quality_classifier.document_logits(texts[::-1], model)[::-1], alone, atol=1e-5)
+    monkeypatch.setattr(quality_classifier, "BLOCK", 2 * quality_classifier.HALF)  # blocks end within texts
+    assert np.allclose(quality_classifier.document_logits(texts, model), alone, atol=1e-5)
+    # By the bytes themselves, window by window.
+    for text, got in zip(texts[:12], alone, strict=False):
+        raw = text.encode() + bytes(quality_classifier.WIDTH)
+        raw += bytes(max(2 * quality_classifier.HALF - len(raw), -len(raw) % quality_classifier.HALF) + quality_classifier.WIDTH)
+        n = (len(raw) - quality_classifier.WIDTH) // quality_classifier.STEP
+        conv = np.array([model["table"][list(raw[i * quality_classifier.STEP :][: quality_classifier.WIDTH])].reshape(-1) @ model["filters"] for i in range(n)])
+        chunks = [conv[i : i + 2 * quality_classifier.SLOTS].max(0) for i in range(0, n - quality_classifier.SLOTS, quality_classifier.SLOTS)]
+        assert math.isclose(got, np.mean([np.maximum(c, 0) @ model["top"] for c in chunks]), abs_tol=1e-4)
+
+
 def test_classifiers_without_labels(docs, labels):
     for op in (quality_classifier.op3, toxicity.op9):
         assert {r["score"] for r in op(docs, labels.limit(0)).collect()} == {0.5}

@@ -29,25 +29,25 @@ SLOTS = HALF // STEP
 
 
 def halves(text: str) -> np.ndarray:
-    """The text's bytes as rows of HALF, padded by at least WIDTH zeros and to two rows."""
+    """The text's bytes as rows of HALF and the WIDTH bytes that follow, padded by at least WIDTH zeros and to two rows."""
     raw = text.encode("utf-8", "surrogatepass")
     rows = max(2, -(-(len(raw) + WIDTH) // HALF))
-    out = np.zeros(rows * HALF, dtype=np.uint8)
+    out = np.zeros(rows * HALF + WIDTH, dtype=np.uint8)
     out[: len(raw)] = np.frombuffer(raw, dtype=np.uint8)
-    return out.reshape(rows, HALF)
+    return np.lib.stride_tricks.as_strided(out, (rows, HALF + WIDTH), (HALF, 1))
 
 
-def windows(flat: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Embedded windows of WIDTH bytes, one each STEP bytes."""
-    x = table[np.concatenate([flat, np.zeros(WIDTH, dtype=np.uint8)])]
-    n = len(flat) // STEP
-    view = np.lib.stride_tricks.as_strided(x, (n, WIDTH * DIM), (STEP * x.strides[0], x.strides[1]))
-    return np.ascontiguousarray(view)
+def windows(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Embedded windows of WIDTH bytes, one each STEP bytes of each row but its last WIDTH, which only end windows."""
+    x = table[rows]
+    n = (rows.shape[1] - WIDTH) // STEP
+    view = np.lib.stride_tricks.as_strided(x, (len(rows), n, WIDTH * DIM), (x.strides[0], STEP * x.strides[1], x.strides[2]))
+    return view.reshape(len(rows) * n, WIDTH * DIM)
 
 
 def pooled(rows: np.ndarray, table: np.ndarray, filters: np.ndarray) -> np.ndarray:
-    """The largest response of each filter in each row of HALF bytes (rows of one or more documents, each padded)."""
-    out = [(windows(rows[i : i + BLOCK // HALF].reshape(-1), table) @ filters).reshape(-1, SLOTS, FILTERS).max(1) for i in range(0, len(rows), BLOCK // HALF)]
+    """The largest response of each filter in each row (rows of one or more documents, as ``halves`` gives them)."""
+    out = [(windows(rows[i : i + BLOCK // HALF], table) @ filters).reshape(-1, SLOTS, FILTERS).max(1) for i in range(0, len(rows), BLOCK // HALF)]
     return np.concatenate(out)
 
 
@@ -76,9 +76,9 @@ def train(texts: list[str], y: np.ndarray, odds: float, seed: int = 0) -> dict:
         rng.shuffle(picks)
         for at in range(0, len(picks), 128):
             batch = picks[at : at + 128]
-            rows = np.stack([parts[i][j : j + 2] for i, j in batch]).reshape(len(batch), -1)
+            rows = np.stack([np.concatenate([parts[i][j, :HALF], parts[i][j + 1]]) for i, j in batch])
             label, w = y[[i for i, _ in batch]], weight[[i for i, _ in batch]]
-            x = windows(rows.reshape(-1), p["table"]).reshape(len(batch), 2 * SLOTS, -1)
+            x = windows(rows, p["table"]).reshape(len(batch), 2 * SLOTS, -1)
             conv = x @ p["filters"]
             best = conv.argmax(1)
             hidden = np.maximum(np.take_along_axis(conv, best[:, None, :], 1)[:, 0] + p["bias"], 0)
@@ -86,7 +86,7 @@ def train(texts: list[str], y: np.ndarray, odds: float, seed: int = 0) -> dict:
             back = (error[:, None] * p["top"]) * (hidden > 0)
             won = x[np.arange(len(batch))[:, None], best]
             grads = {"top": hidden.T @ error, "shift": error.sum(keepdims=True), "bias": back.sum(0), "filters": np.einsum("bf,bfd->df", back, won), "table": np.zeros_like(p["table"])}
-            places = np.minimum(best[:, :, None] * STEP + np.arange(WIDTH), rows.shape[1] - 1)
+            places = best[:, :, None] * STEP + np.arange(WIDTH)
             which = rows[np.arange(len(batch))[:, None, None], places]
             np.add.at(grads["table"], which, back[:, :, None, None] * p["filters"].T.reshape(1, FILTERS, WIDTH, DIM))
             step += 1

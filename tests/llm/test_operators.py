@@ -342,6 +342,14 @@ def test_quality_rules_by_line(spark):
     assert set(got) == {0, 2} and "Home" not in got[0] and "rights" not in got[2]
 
 
+def test_quality_rules_copyright_lines(spark):
+    good = "This is a sentence that ends as sentences do.\nAnother one follows it here, unlike the first."
+    lines = ["Copyright (c) 2024 Foo Inc.", "copyright (C)2024 Foo Inc.", "Foo Inc., COPYRIGHT (C).", "Uncopyright (c) is a word of its own."]
+    docs = spark.createDataFrame([(i, f"{good}\n{x}") for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in quality_rules.clean(docs).collect()}
+    assert got == {0: good, 1: good, 2: good, 3: f"{good}\n{lines[3]}"}
+
+
 def test_sharding(docs, rows):
     got = sharding.op8(docs).collect()
     by = defaultdict(list)

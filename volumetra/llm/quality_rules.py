@@ -24,7 +24,7 @@ LEAST_KEPT = 0.5
 #: A line ends as a sentence does, closing quotes and brackets aside (fixed values).
 SENTENCE_END = r"""[.!?:;…。！？]["'”’»)\]]*\s*$"""
 NAVIGATION = r"(?i)\b(click here|read more|sign in|sign up|log ?in|next page|previous page|back to top|skip to content|main menu|add to cart|share this|follow us|site map)\b"
-BOILERPLATE = r"(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie policy|use cookies|enable javascript|lorem ipsum|subscribe to our newsletter|copyright \(c\)|powered by)\b"
+BOILERPLATE = r"(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie policy|use cookies|enable javascript|lorem ipsum|subscribe to our newsletter|powered by)\b|\bcopyright \(c\)"
 #: In lower case, one of these is in every text with a boilerplate phrase.
 PHRASES = ["rights reserved", "terms of", "policy", "use cookies", "javascript", "lorem ipsum", "newsletter", "copyright (c)", "powered by"]
 

@@ -3,10 +3,12 @@
 Base kinds: ``assign`` (a keyword with a value of 6+ characters), ``access``
 (an access key id of 20+ characters), ``hex`` (24+ hex digits), each the leftmost
 non-overlapping matches over the whole text. The entropy pass adds ``entropy``
-spans: over candidate strings of 20+ characters that hold a digit, the Shannon
-entropy of a sliding window of 20 characters, one character going and one coming
-at a time, against a threshold for the candidate's character class. Candidates
-on the allow-list, and those that overlap a base span, add nothing.
+spans: over candidate strings of 20+ characters that hold a digit or letters of
+both cases, the Shannon entropy of a sliding window of 20 characters, one
+character going and one coming at a time, against a threshold for the
+candidate's character class. Candidates on the allow-list, and those that base
+spans cover from end to end, add nothing. What base spans leave of a candidate is
+a candidate too, so that the allow-list does not pass it with its neighbour.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive.
 """
@@ -23,11 +25,12 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "entropy"]
-#: Runs of key characters with a digit, from the start of a run.
-CANDIDATE = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*+[0-9])[A-Za-z0-9+/=_-]{20,}+"
+#: Runs of key characters with a digit or both cases, from the start of a run.
+CANDIDATE = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*+[0-9]|[A-Z+/=_-]*+[a-z][a-z+/=_-]*+[A-Z]|[a-z+/=_-]*+[A-Z][A-Z+/=_-]*+[a-z])[A-Za-z0-9+/=_-]{20,}+"
 WINDOW = 20
-#: Bits a character that a window must reach, by class: hex digits, other key characters.
-HEX_BITS, KEY_BITS = 2.9, 3.7
+#: Bits a character that a window must reach, by class: hex digits, other key characters, those without a digit.
+#: Of random keys of 20 letters 70 % reach the last one, of 40 letters 99 %; of names in Python code 15 %.
+HEX_BITS, KEY_BITS, LETTER_BITS = 2.9, 3.7, 3.9
 #: Placeholders, running alphabets, checksums of lock files, UUIDs.
 ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|your[-_]?(key|token)|x{6,}|0{8,}|01234567|12345678|abcdefgh|qwerty|^sha(1|256|384|512)-|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 
@@ -88,7 +91,26 @@ def window_entropy(s: Column) -> Column:
 
 def _random_looking(s: Column, _: Column) -> Column:
     is_hex = s.rlike("^[0-9a-fA-F]+$")
-    return s.rlike("[A-Za-z]") & ~s.rlike(ALLOWED) & (window_entropy(s) >= F.when(is_hex, HEX_BITS).otherwise(KEY_BITS))
+    least = F.when(is_hex, HEX_BITS).when(s.rlike("[0-9]"), KEY_BITS).otherwise(LETTER_BITS)
+    return s.rlike("[A-Za-z]") & ~s.rlike(ALLOWED) & (window_entropy(s) >= least)
+
+
+def _covered(e: Column, base: Column) -> Column:
+    """Whether spans sorted by start cover all of ``e``, together or alone."""
+    reach = lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at)
+    return F.aggregate(base, e["start"], reach) >= e["end"]
+
+
+def _blanked(text: Column, base: Column) -> Column:
+    """The text with spaces in place of its spans, sorted by start."""
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["pos"] + 1, F.greatest(F.lit(0), s["start"] - acc["pos"]))
+        blank = F.repeat(F.lit(" "), s["end"] - F.greatest(acc["pos"], s["start"]))
+        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], gap, blank).alias("out"))
+
+    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    return F.aggregate(base, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.char_length(text))))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -104,7 +126,10 @@ def scan(docs: DataFrame) -> DataFrame:
         _spans(text, CANDIDATE, 3, _random_looking).alias("entropy"),
     )
     rows = rows.withColumn("base", F.sort_array(F.concat("assign", "access", "hex")))
-    extra = F.filter("entropy", lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
+    rows = rows.withColumn("entropy", F.filter("entropy", lambda e: ~_covered(e, F.col("base"))))
+    left = F.when(F.size("base") > 0, let(_blanked(text, F.col("base")), lambda t: _spans(t, CANDIDATE, 3, _random_looking))).otherwise(F.array().cast(SPANS))
+    apart = F.filter(left, lambda e: ~F.exists("entropy", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
+    extra = F.concat("entropy", apart)
     return rows.withColumn("spans", F.sort_array(F.concat("base", extra)))
 
 

@@ -45,6 +45,32 @@ def test_query(spark, duck, name):
         assert sorted(repr([r[c] for c in columns]) for r in rows) == expected
 
 
+def test_segment_join_is_whole(spark):
+    """Every segment asks; pairs of segments by brute force over their boxes and axes."""
+    got = {(r["query"], r["gid"]) for r in QUERIES["segment_join_cylinders"](spark, SF).where("section_id = 1").collect()}
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", *[F.col("embedding")[i].cast("double") for i in range(7)]).collect()
+    a = np.array([r[1:] for r in rows])
+    p, d, radius = a[:, None, :3], a[:, None, 3:6] - a[:, None, :3], np.abs(a[:, 6])
+    q, e = p.transpose(1, 0, 2), d.transpose(1, 0, 2)
+    dot = lambda x, y: (x * y).sum(-1)
+    at = lambda x, o, v: np.clip(dot(x - o, v) / dot(v, v), 0, 1)[..., None]
+    # The least distance is from an end to the other segment, or between inner points of the lines.
+    pairs = [(x, q + at(x, q, e) * e) for x in (p, p + d)] + [(p + at(y, p, d) * d, y) for y in (q, q + e)]
+    dd, ee, de, w = dot(d, d), dot(e, e), dot(d, e), p - q
+    det = np.where(np.abs(dd * ee - de**2) < 1e-12, np.inf, dd * ee - de**2)
+    s, t = (de * dot(e, w) - ee * dot(d, w)) / det, (dd * dot(e, w) - de * dot(d, w)) / det
+    inner = (s >= 0) & (s <= 1) & (t >= 0) & (t <= 1)
+    away = np.minimum.reduce([np.sqrt(dot(x - y, x - y)) for x, y in pairs] + [np.where(inner, np.linalg.norm(w + s[..., None] * d - t[..., None] * e, axis=-1), np.inf)])
+    half = np.sqrt(np.maximum(0, 1 - d[:, 0] ** 2 / dot(d, d))) * radius[:, None]
+    low, high = np.minimum(a[:, :3], a[:, 3:6]) - half, np.maximum(a[:, :3], a[:, 3:6]) + half
+    apart = np.maximum(low[:, None] - high[None], low[None] - high[:, None]).max(-1)
+    gap = np.maximum(away - radius[:, None] - radius[None, :], apart)
+    ids = [r[0] for r in rows]
+    assert {i for i, _ in got} == set(ids)
+    sure = {(ids[i], ids[j]) for i, j in zip(*np.nonzero(gap < -1e-5), strict=True)}
+    assert sure <= got <= {(ids[i], ids[j]) for i, j in zip(*np.nonzero(gap < 1e-5), strict=True)}
+
+
 def value(spark, column):
     return spark.range(1).select(column).first()[0]
 

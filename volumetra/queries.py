@@ -401,8 +401,8 @@ def standing_box(spark, d):
 
 @query()
 def segment_join_cylinders(spark, d):
-    """Segments against segments, as capsules."""
+    """All segments against all elements, as capsules."""
     a = segments(spark, d)
-    q = a.elements.where("gid % 20 = 0 and not is_soma").select(F.col("gid").alias("query"), *[F.col(c).alias(f"s_{c}") for c in (*P1, *P2)], F.col("radius").alias("s_radius"))
+    q = a.elements.where("not is_soma").select(F.col("gid").alias("query"), *[F.col(c).alias(f"s_{c}") for c in (*P1, *P2)], F.col("radius").alias("s_radius"))
     shape = Cylinder.of([f"s_{c}" for c in P1], [f"s_{c}" for c in P2], "s_radius")
     return join.spatial_join(a, q, shape).select("query", "gid", "section_id", "segment_id")

@@ -26,7 +26,6 @@ is kept. One row results for each input row.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slim
+from .common import hot_keys, saved, scratch, slim, spread_join
 from .words import WordHasher, mix, pair
 
 BANDS, ROWS = 32, 4
@@ -44,6 +43,8 @@ SAMPLES = BANDS * ROWS
 LOWEST, BITS = 512, 2048
 LINK = 80
 BLOCK = 1024
+#: Partners compared with one copy of a text, about.
+GROUP = 256
 #: Ids are broadcast up to this many (8 bytes each); beyond it they are joined.
 BROADCAST_IDS = 4_000_000
 
@@ -135,38 +136,58 @@ def sketches(docs: DataFrame, size: int = 2) -> DataFrame:
     return slim(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, link: int) -> DataFrame:
-    """Of distinct pairs (a, b), those whose full sets are alike enough."""
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, link: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """Of distinct pairs (a, b), those whose full sets are alike enough.
+
+    Texts travel alone, one a row. The partners of one ``a`` are dealt to groups of
+    about GROUP; each gets one copy of that text, which comes first, and the
+    partners' texts stream past it.
+    """
     pairs = saved(pairs)
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = slim(docs).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    sizes = saved(pairs.groupBy("a").agg(F.count("*").alias("m")).withColumn("parts", F.ceil(F.col("m") / GROUP).cast("int")))
+    large = sizes.where("parts > 1").select("a", "parts")
+    dealt = pairs.withColumn("part", F.lit(0))
+    if not large.isEmpty():
+        dealt = spread_join(pairs, large, "a", "left", hot_keys(sizes, "a", "m"))
+        dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0)))
+    first = sizes.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
+    wanted = saved(first.unionByName(dealt.select(F.col("b").alias("doc_id"), "a", "part", "b")))
+    ids = saved(wanted.select("doc_id").distinct())
+    texts = slim(docs).join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, "doc_id", "left_semi")
+    rows = texts.join(wanted, "doc_id").select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        own = functools.lru_cache(maxsize=16)(lambda text: shingles(hasher(text), size))
+        hasher, group, firsts = WordHasher(), None, []
         for batch in batches:
             keep = []
-            for a, b in zip(batch["text_a"], batch["text_b"], strict=True):  # one pair's texts at a time leave the batch
-                x, y = own(a.as_py() or ""), own(b.as_py() or "")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= link * (len(x) + len(y) - common) and common > 0)
+            for a, part, b, text in zip(batch["a"].to_pylist(), batch["part"].to_pylist(), batch["b"].to_pylist(), batch["text"], strict=True):
+                if group != (a, part):
+                    group, firsts = (a, part), []
+                own = shingles(hasher(text.as_py() or ""), size)  # one text at a time leaves the batch
+                if b is None:
+                    firsts.append(own)
+                keep.append(b is not None and any(_alike(x, own, link) for x in firsts))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _alike(x: np.ndarray, y: np.ndarray, link: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common > 0 and 100 * common >= link * (len(x) + len(y) - common)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of the ids in links (a, b): the smallest id reachable. Labels pass along links and jump to their own labels."""
-    both = saved(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "id"))
+    both = saved(links.select("a", F.col("b").alias("id")).union(links.select("b", "a")).distinct())
+    hubs = hot_keys(both, "id")
+    labels = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("id")).alias("component")).withColumnRenamed("a", "id"))
     while True:
-        heard = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("heard"))
+        heard = spread_join(both, labels, "id", hot=hubs).groupBy("a").agg(F.min("component").alias("heard"))
         nearer = labels.join(heard, labels["id"] == heard["a"]).select("id", F.col("component").alias("old"), F.least("component", "heard").alias("new"))
         nearer = saved(nearer)
         jump = nearer.select(F.col("id").alias("new"), F.col("new").alias("next"))
-        after = saved(nearer.join(jump, "new", "left").select("id", "old", F.least("new", F.coalesce("next", "new")).alias("component")))
+        after = saved(spread_join(nearer, jump, "new", "left").select("id", "old", F.least("new", F.coalesce("next", "new")).alias("component")))
         labels = after.select("id", "component")
         if after.where("old <> component").isEmpty():
             return labels
@@ -192,22 +213,30 @@ def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _across(link: int, whole: bool):
     """Pairs of different components, by size and sketch, within each run of rows of one block; ``whole``: all of them, else a forest."""
 
-    def pairs(g: pd.DataFrame) -> list[tuple[int, int]]:
+    def pairs(g: pd.DataFrame) -> Iterator[list[tuple[int, int]]]:
         row, col = g[g["as_row"]], g[~g["as_row"]]
         if not len(row) or not len(col):
-            return []
+            return
         bits = [np.frombuffer(b"".join(x["sketch"]), dtype=np.uint64).reshape(len(x), -1) for x in (row, col)]
         size, part, key = ((row[c].to_numpy(), col[c].to_numpy()) for c in ("n", "component", "rep"))
-        out = []
         for at in range(0, len(row), 64):
             end = at + 64
             ok = (part[0][at:end, None] != part[1]) & (100 * np.minimum(size[0][at:end, None], size[1]) >= link * np.maximum(size[0][at:end, None], size[1]))
             i, j = np.nonzero(ok)
             most = most_bits(size[0][at + i].astype(float), size[1][j].astype(float), link, np.minimum, np.sqrt)
             near = np.bitwise_count(bits[0][at + i] ^ bits[1][j]).sum(1) <= most
-            found = list(zip(key[0][at + i[near]].tolist(), key[1][j[near]].tolist(), strict=True))
-            out = out + found if whole else _forest(out + found)
-        return out
+            x, y = key[0][at + i[near]], key[1][j[near]]
+            yield list(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
+
+    def block(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """All pairs go out as they come (64 rows against a block); of a forest, at most a block's rows are held."""
+        forest: list[tuple[int, int]] = []
+        for found in pairs(g):
+            if whole:
+                yield pd.DataFrame(list(dict.fromkeys(found)), columns=["a", "b"], dtype="int64")
+            else:
+                forest = _forest(forest + found)
+        yield pd.DataFrame(forest, columns=["a", "b"], dtype="int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -216,23 +245,23 @@ def _across(link: int, whole: bool):
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             cut = np.flatnonzero((batch[keys].to_numpy()[1:] != batch[keys].to_numpy()[:-1]).any(1)) + 1
             edges = [0, *cut.tolist()]
-            found = [p for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1 for p in pairs(batch.iloc[a:b])]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b - a > 1:
+                    yield from block(batch.iloc[a:b])
             rest = batch.iloc[edges[-1] :]
-            found = list(dict.fromkeys((min(p), max(p)) for p in found))
-            yield pd.DataFrame(found if whole else _forest(found), columns=["a", "b"], dtype="int64")
         if rest is not None and len(rest):
-            yield pd.DataFrame([(min(p), max(p)) for p in pairs(rest)], columns=["a", "b"], dtype="int64")
+            yield from block(rest)
 
     return run
 
 
-def _between(members: DataFrame, reps: DataFrame, found: DataFrame, link: int, whole: bool) -> DataFrame:
-    """Candidates (a, b) of bands that hold several components."""
+def _between(members: DataFrame, reps: DataFrame, found: DataFrame, hot: tuple[list, list], link: int, whole: bool) -> DataFrame:
+    """Candidates (a, b) of bands that hold several components. ``hot``: the hot bands and the leaders of the most members."""
     state = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     leads = found.select(F.col("id").alias("leader"), F.col("component").alias("main"))
-    state = saved(state.join(leads, "leader", "left").withColumn("main", F.coalesce("main", "leader")).where("m > 2"))
-    outside = state.where("component <> main").groupBy("key").agg(F.count("*").alias("u"))
-    open_ = state.join(outside, "key").join(reps.select("rep", "n", "sketch"), "rep")
+    state = saved(spread_join(state, leads, "leader", "left", hot[1]).withColumn("main", F.coalesce("main", "leader")).where("m > 2"))
+    outside = saved(state.where("component <> main").groupBy("key").agg(F.count("*").alias("u")))
+    open_ = spread_join(state, outside, "key", hot=hot[0]).join(reps.select("rep", "n", "sketch"), "rep")
     nb = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     own = ["rep", "n", "component", "sketch"]
     block = F.pmod(F.xxhash64("rep"), nb("m")).cast("int")
@@ -244,20 +273,26 @@ def _between(members: DataFrame, reps: DataFrame, found: DataFrame, link: int, w
 
 def near_duplicates(docs: DataFrame, size: int = 2, link: int = LINK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per input row."""
+    with scratch():
+        return saved(_near_duplicates(docs, size, link), keep=True)
+
+
+def _near_duplicates(docs: DataFrame, size: int, link: int) -> DataFrame:
     rows = saved(sketches(docs, size))
-    classes = saved(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    # One row per class: that of its smallest doc_id.
-    reps = rows.join(classes.where("rep is not null"), "digest").where("doc_id = rep").dropDuplicates(["digest"])
-    reps = saved(reps.select("rep", F.col("n_shingles").alias("n"), "bands", "sketch"))
+    # One row per class, merged before the shuffle: equal sets have equal sizes, bands and sketches.
+    reps = rows.where("digest is not null and doc_id is not null").groupBy("digest")
+    reps = saved(reps.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     members = reps.select(F.explode("bands").alias("key"), "rep")
     stars = members.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("_last"), F.count("*").alias("m")).where("leader <> _last").drop("_last")
-    members = saved(members.join(stars, "key"))
+    stars = saved(stars)
+    bands_ = hot_keys(stars, "key", "m")
+    members = saved(spread_join(members, stars, "key", hot=bands_))
 
     def side(name: str) -> DataFrame:
         return reps.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
 
-    star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    star = star.join(side("b"), "b").join(side("a"), "a").where(f"100 * least(n_a, n_b) >= {link} * greatest(n_a, n_b)")
+    star = saved(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
+    star = spread_join(star, side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {link} * greatest(n_a, n_b)")
     # Four bytes of the bitmaps at a time.
     word = lambda c, k: F.conv(F.hex(F.substring(c, F.lit(k) if isinstance(k, int) else k, F.lit(4))), 16, 10).cast("long")
     differing = F.aggregate(F.sequence(F.lit(1), F.lit(BITS // 8), F.lit(4)), F.lit(0), lambda n, k: n + F.bit_count(word(F.col("sketch_a"), k).bitwiseXOR(word(F.col("sketch_b"), k))))
@@ -266,13 +301,15 @@ def near_duplicates(docs: DataFrame, size: int = 2, link: int = LINK) -> DataFra
     star = star.where(differing <= most).select("a", "b").distinct()
     links = saved(confirmed(star, docs, size, link))
     found = components(links)
+    leaders = hot_keys(members, "leader")
     for whole in (False, True):
-        more = saved(confirmed(_between(members, reps, found, link, whole), docs, size, link))
+        more = saved(confirmed(_between(members, reps, found, (bands_, leaders), link, whole), docs, size, link))
         if not more.isEmpty():
             links = links.union(more)
             found = components(links)
-    out = rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    classes = saved(reps.select("digest", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
+    out = spread_join(rows.select("doc_id", "n_shingles", "digest"), classes, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
@@ -282,11 +319,11 @@ def op2(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
     """The documents that are kept, one of each component; same columns. Of rows that share a doc_id one stays; null ids all stay."""
-    found = saved(near_duplicates(docs, size).where("doc_id is not null"))
-    gone = found.where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    out = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    with scratch():
+        found = saved(_near_duplicates(docs, size, LINK).where("doc_id is not null"))
+        gone = saved(found.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), keep=True)
+        repeated = saved(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), keep=True)
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs["doc_id"] == gone["_id"], "left_anti")
     if repeated.isEmpty():
         return out
     same = out["doc_id"] == repeated["_id"]

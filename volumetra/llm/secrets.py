@@ -15,6 +15,8 @@ Null and empty texts have no spans. Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,77 +46,147 @@ def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
     found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), second.alias("second"))
 
     def walk(v: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["pos"] + F.char_length(v["gaps"][i])
+        def step(pos: Column, i: Column) -> tuple[Column, Column]:
+            start = pos + F.char_length(v["gaps"][i])
             end = start + F.char_length(v["hits"][i])
             span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-            good = keep(v["hits"][i], F.get(v["second"], i))
-            return F.struct(end.alias("pos"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+            return end, F.when(keep(v["hits"][i], F.get(v["second"], i)), F.array(span)).otherwise(F.array().cast(SPANS))
 
-        start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPANS).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(v["hits"]) - 1), start, step, lambda acc: acc["out"])
+        return walked(F.size(v["hits"]), F.lit(0), step, SPANS)
 
     return F.when(text.rlike(pattern), let(found, walk)).otherwise(F.array().cast(SPANS))
 
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
+STEP = 256
+
+
+def walked(n: Column, start: Column, step, kind: str) -> Column:
+    """All that ``step(state, i)`` = (next state, array) emits for i = 0 to n - 1, as one array.
+
+    It goes by blocks of STEP, so that no long array is copied for each element.
+    """
+
+    def one(acc: Column, i: Column) -> Column:
+        state, items = step(acc["state"], i)
+        return F.struct(state.alias("state"), F.concat(acc["out"], items).alias("out"))
+
+    def block(acc: Column, first: Column) -> Column:
+        own = F.aggregate(F.sequence(first, F.least(first + (STEP - 1), n - 1)), F.struct(acc["state"].alias("state"), F.array().cast(kind).alias("out")), one)
+        return let(own, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    empty = F.struct(start.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1, F.lit(STEP)), empty, block, lambda acc: F.flatten(acc["out"]))).otherwise(F.array().cast(kind))
+
+
+def united(spans: Column, touching: bool) -> Column:
+    """Spans sorted by start, joined where they overlap (or touch): disjoint and sorted."""
+
+    def over(v: Column) -> Column:
+        def step(at: Column, i: Column) -> tuple[Column, Column]:
+            s = F.get(v["s"], i)  # null after the last one
+            joins = F.coalesce(s["start"] <= at["end"] if touching else s["start"] < at["end"], F.lit(False)) & (at["end"] > 0)
+            after = F.struct(F.when(joins, at["start"]).otherwise(s["start"]).alias("start"), F.when(joins, F.greatest(at["end"], s["end"])).otherwise(s["end"]).alias("end"))
+            done = F.struct(at["start"].alias("start"), F.lit(0).alias("kind"), at["end"].alias("end"))
+            return after, F.when(joins | (at["end"] == 0), F.array().cast(SPANS)).otherwise(F.array(done))
+
+        zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
+        return walked(F.size(v["s"]) + 1, zero, step, SPANS)
+
+    return F.when(F.size(spans) > 0, let(F.struct(spans.alias("s")), over)).otherwise(F.array().cast(SPANS))
+
+
+def last_before(spans: Column, x: Column) -> Column:
+    """The index of the last of sorted spans that starts before x, by halving; -1 if none does."""
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        before = F.get(spans, mid)["start"] < x
+        return F.struct(F.when((acc["lo"] < acc["hi"]) & before, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when((acc["lo"] < acc["hi"]) & ~before, mid).otherwise(acc["hi"]).alias("hi"))
 
+    start = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.char_length(F.bin(F.size(spans).cast("long")))), start, step, lambda acc: acc["lo"] - 1)
 
-def _term(n: Column) -> Column:
-    return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
+def filled(text: Column, spans: Column, fill) -> Column:
+    """The text with ``fill(length)`` in place of each of its disjoint sorted spans. Texts are cut into chunks once, so that no piece is sought from their start."""
+    n = F.char_length(text)
+    size = F.greatest(F.lit(4096), (8 * F.sqrt(n)).cast("int"))
+    chunks = lambda c: F.transform(F.sequence(F.lit(0), F.floor(n / c).cast("int")), lambda k: F.substring(text, k * c + 1, c))
 
-def _count(window: Column, char: Column) -> Column:
-    return F.char_length(window) - F.char_length(F.replace(window, char, F.lit("")))
+    def over(v: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            first = F.floor(a / v["size"]).cast("int")
+            some = F.array_join(F.slice(v["chunks"], first + 1, F.floor(b / v["size"]).cast("int") - first + 1), "")
+            return F.substring(some, a - first * v["size"] + 1, b - a)
+
+        def step(pos: Column, i: Column) -> tuple[Column, Column]:
+            s = F.get(v["s"], i)  # null after the last one
+            return F.coalesce(s["end"], pos), F.array(piece(pos, F.coalesce(s["start"], v["n"])), F.coalesce(fill(s["end"] - s["start"]), F.lit("")))
+
+        return F.array_join(walked(F.size(v["s"]) + 1, F.lit(0), step, "array<string>"), "")
+
+    parts = let(size, lambda c: F.struct(c.alias("size"), chunks(c).alias("chunks"), n.alias("n"), spans.alias("s")))
+    return F.when(F.size(spans) > 0, let(parts, over)).otherwise(text)
+
+
+#: The characters of candidates, numbered in this order; a window's counts stand in six numbers, twelve characters in each, five bits a count.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
+PER, WIDTH = 12, 5
+#: c log2 c by c.
+TERMS = [0.0, *[c * math.log2(c) for c in range(1, WINDOW + 2)]]
 
 
 def window_entropy(s: Column) -> Column:
-    """The largest Shannon entropy of a window, in bits a character.
+    """The largest Shannon entropy of a window, in bits a character, of a string of candidates' characters.
 
-    H = log2(W) - sum(c log2 c) / W; the sum changes by the counts of the
-    character that leaves and of the one that enters.
+    H = log2(W) - sum(c log2 c) / W. The counts of the window's characters are
+    carried along: each step takes one from the character that leaves, adds one to
+    that which enters, and changes the sum by their terms. A shorter string is one window.
     """
-    first = F.substring(s, 1, WINDOW)
-    initial = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda acc, c: acc + F.when(c == "", F.lit(0.0)).otherwise(_term(_count(first, c))))
+    places = [LETTERS.find(chr(i)) for i in range(128)]
+    number = F.lit([max(0, k) // PER for k in places])  # by ASCII code: which of the numbers,
+    shift = F.lit([max(0, k) % PER * WIDTH for k in places])  # and where in it
+    terms = F.lit(TERMS)
+    have = lambda counts, c: F.call_function("shiftright", counts[number[c]], shift[c]).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
+    one = F.lit([1 << (k % PER * WIDTH) if k >= 0 else 0 for k in places])
 
-    def step(acc: Column, i: Column) -> Column:
-        window = F.substring(s, i - WINDOW, F.lit(WINDOW))
-        out, come = F.substring(window, 1, 1), F.substring(s, i, F.lit(1))
-        n_out, n_in = _count(window, out), _count(F.substring(window, 2, WINDOW - 1), come)
-        total = acc["sum"] - _term(n_out) + _term(n_out - 1) - _term(n_in) + _term(n_in + 1)
-        return F.struct(total.alias("sum"), F.least(acc["low"], total).alias("low"))
+    def moved(counts: Column, c: Column, by: int) -> Column:
+        return F.transform(counts, lambda x, k: F.when(k == number[c], x + by * one[c]).otherwise(x))
 
-    steps = F.when(F.char_length(s) > WINDOW, F.sequence(F.lit(WINDOW + 1), F.char_length(s))).otherwise(F.array().cast("array<int>"))
-    start = let(initial, lambda x: F.struct(x.alias("sum"), x.alias("low")))
-    return F.log2(F.lit(float(WINDOW))) - F.aggregate(steps, start, step, lambda acc: acc["low"]) / WINDOW
+    def enter(acc: Column, c: Column) -> Column:
+        n = have(acc["counts"], c)
+        return F.struct((acc["sum"] + terms[n + 1] - terms[n]).alias("sum"), moved(acc["counts"], c, 1).alias("counts"))
 
+    def over(v: Column) -> Column:
+        empty = F.struct(F.lit(0.0).alias("sum"), F.lit([0] * -(-len(LETTERS) // PER)).cast("array<bigint>").alias("counts"))
+        first = F.aggregate(F.slice(v["c"], 1, WINDOW), empty, enter)
 
-def _random_looking(s: Column, _: Column) -> Column:
-    is_hex = s.rlike("^[0-9a-fA-F]+$")
-    least = F.when(is_hex, HEX_BITS).when(s.rlike("[0-9]"), KEY_BITS).otherwise(LETTER_BITS)
-    return s.rlike("[A-Za-z]") & ~s.rlike(ALLOWED) & (window_entropy(s) >= least)
-
+        def step(acc: Column, i: Column) -> Column:
+            def slid(x: Column) -> Column:
+                n = have(acc["counts"], x["gone"])
+                left = let(F.struct(moved(acc["counts"], x["gone"], -1).alias("counts"), (acc["sum"] + terms[n - 1] - terms[n]).alias("sum")), lambda y: enter(y, x["come"]))
+                return let(left, lambda y: F.struct(y["sum"].alias("sum"), y["counts"].alias("counts"), F.least(acc["low"], y["sum"]).alias("low")))
 
-def _covered(e: Column, base: Column) -> Column:
-    """Whether spans sorted by start cover all of ``e``, together or alone."""
-    reach = lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at)
-    return F.aggregate(base, e["start"], reach) >= e["end"]
+            return let(F.struct(v["c"][i - WINDOW].alias("gone"), v["c"][i].alias("come")), slid)
 
+        steps = F.when(F.size(v["c"]) > WINDOW, F.sequence(F.lit(WINDOW), F.size(v["c"]) - 1)).otherwise(F.array().cast("array<int>"))
+        start = let(first, lambda x: F.struct(x["sum"].alias("sum"), x["counts"].alias("counts"), x["sum"].alias("low")))
+        return F.aggregate(steps, start, step, lambda acc: acc["low"])
 
-def _blanked(text: Column, base: Column) -> Column:
-    """The text with spaces in place of its spans, sorted by start."""
+    codes = F.transform(F.split(F.substring(s, F.lit(1), F.char_length(s)), ""), lambda c: F.least(F.ascii(c), F.lit(127)))
+    lowest = let(F.struct(F.filter(codes, lambda c: c > 0).alias("c")), over)
+    return F.log2(F.least(F.lit(WINDOW), F.greatest(F.lit(1), F.char_length(s))).cast("double")) - lowest / F.least(F.lit(WINDOW), F.greatest(F.lit(1), F.char_length(s)))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["pos"] + 1, F.greatest(F.lit(0), s["start"] - acc["pos"]))
-        blank = F.repeat(F.lit(" "), s["end"] - F.greatest(acc["pos"], s["start"]))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], gap, blank).alias("out"))
 
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    return F.aggregate(base, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.char_length(text))))
+def _random_looking(s: Column, _: Column) -> Column:
+    is_hex = s.rlike("^[0-9a-fA-F]+$")
+    least = F.when(is_hex, HEX_BITS).when(s.rlike("[0-9]"), KEY_BITS).otherwise(LETTER_BITS)
+    return s.rlike("[A-Za-z]") & ~s.rlike(ALLOWED) & (window_entropy(s) >= least)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(_row, text, base, spans): every input row with its spans, sorted by start, kind, end."""
+    """(_row, text, base, entropy, spans): every input row with its spans, sorted by start, kind, end."""
     text = F.col("text")
     every = lambda hit, group: F.lit(True)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -126,11 +198,15 @@ def scan(docs: DataFrame) -> DataFrame:
         _spans(text, CANDIDATE, 3, _random_looking).alias("entropy"),
     )
     rows = rows.withColumn("base", F.sort_array(F.concat("assign", "access", "hex")))
-    rows = rows.withColumn("entropy", F.filter("entropy", lambda e: ~_covered(e, F.col("base"))))
-    left = F.when(F.size("base") > 0, let(_blanked(text, F.col("base")), lambda t: _spans(t, CANDIDATE, 3, _random_looking))).otherwise(F.array().cast(SPANS))
-    apart = F.filter(left, lambda e: ~F.exists("entropy", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    extra = F.concat("entropy", apart)
-    return rows.withColumn("spans", F.sort_array(F.concat("base", extra)))
+    rows = rows.withColumn("_base", united(F.col("base"), True))
+    covering = lambda e: F.get(F.col("_base"), last_before(F.col("_base"), e["start"] + 1))["end"]
+    rows = rows.withColumn("entropy", F.filter("entropy", lambda e: F.coalesce(covering(e) < e["end"], F.lit(True))))
+    blank = filled(text, F.col("_base"), lambda n: F.repeat(F.lit(" "), n))
+    left = F.when(F.size("base") > 0, let(blank, lambda t: _spans(t, CANDIDATE, 3, _random_looking))).otherwise(F.array().cast(SPANS))
+    reaching = lambda e: F.get(F.col("entropy"), last_before(F.col("entropy"), e["end"]))["end"]
+    apart = F.filter(left, lambda e: F.coalesce(reaching(e) <= e["start"], F.lit(True)))
+    rows = rows.withColumn("spans", F.sort_array(F.concat("base", "entropy", apart)))
+    return rows.drop("_base")
 
 
 def _written(spans: Column) -> Column:
@@ -141,16 +217,9 @@ def _written(spans: Column) -> Column:
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """The documents with each secret's span, overlaps joined, replaced by ``mask``; same columns."""
 
-    def masked(v: Column) -> Column:
-        def step(acc: Column, s: Column) -> Column:
-            piece = F.when(s["start"] >= acc["pos"], F.concat(F.substring(v["text"], acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mask))).otherwise(F.lit(""))
-            return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], piece).alias("out"))
-
-        start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-        return F.aggregate(v["spans"], start, step, lambda acc: F.concat(acc["out"], F.substring(v["text"], acc["pos"] + 1, F.char_length(v["text"]))))
-
     found = scan(docs)
-    text = F.when(F.size("spans") > 0, let(F.struct("text", "spans"), masked)).otherwise(F.col("_row.text"))
+    masked = let(united(F.col("spans"), False), lambda v: filled(F.col("text"), v, lambda n: F.when(n.isNotNull(), F.lit(mask))))
+    text = F.when(F.size("spans") > 0, masked).otherwise(F.col("_row.text"))
     out = found.withColumn("_new", text)
     return out.select(*[F.col("_new").alias(c) if c == "text" else F.when(F.size("spans") > 0, F.char_length("_new").cast("long")).otherwise(F.col("_row.n_chars")).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 

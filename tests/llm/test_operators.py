@@ -325,15 +325,52 @@ def test_packing(docs, rows):
     assert len(sequences) <= -(-total // 1024) + 2
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_configuration_plan(seed):
-    rng = np.random.default_rng(seed)
-    counts = np.bincount(rng.choice([rng.integers(1, 1025, 4000), rng.integers(300, 700, 4000), np.full(4000, 512)][seed], 3000), minlength=1025)
-    found = packing.plan(counts)
-    assert (sum(c * n for c, n in found) == counts).all()
-    assert max(int((c * np.arange(1025)).sum()) for c, _ in found) <= 1024
-    # Near best fit alone, which is near the optimum here.
-    assert sum(n for _, n in found) <= 1.02 * sum(n for _, n in packing.best_fit(counts, 1024)) + 1
+SHAPES = {
+    "uniform": lambda rng: rng.integers(1, 1025, 3000),
+    "middle": lambda rng: rng.integers(300, 700, 3000),
+    "halves": lambda rng: np.full(3000, 512),
+    "thirds": lambda rng: rng.integers(200, 500, 3000),
+    "long tail": lambda rng: np.minimum(1024, rng.lognormal(5.5, 1, 20000).astype(int) + 1),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_configuration_plan(shape):
+    for seed in range(20 if shape in ("uniform", "middle") else 3):
+        counts = np.bincount(SHAPES[shape](np.random.default_rng(seed)), minlength=1025)
+        found, bound = packing.plan(counts)
+        assert (sum(c * n for c, n in found) == counts).all()
+        assert max(int((c * np.arange(1025)).sum()) for c, _ in found) <= 1024
+        used, fit = sum(n for _, n in found), sum(n for _, n in packing.best_fit(counts, 1024))
+        assert bound <= used <= 1.002 * fit + 1 and used <= fit
+        if shape == "thirds":  # three of them fill a sequence; best fit pairs the longest
+            assert used <= 0.97 * fit
+        assert used <= 1.03 * bound + 1
+
+
+def test_dual_bound_by_brute_force():
+    def fewest(sizes):
+        """Of all ways to put sizes into bins of 10, the fewest bins."""
+        best = [len(sizes)]
+
+        def place(i, bins):
+            if len(bins) >= best[0]:
+                return
+            if i == len(sizes):
+                best[0] = len(bins)
+                return
+            for k in {b: k for k, b in enumerate(bins)}.values():
+                if bins[k] + sizes[i] <= 10:
+                    place(i + 1, [*bins[:k], bins[k] + sizes[i], *bins[k + 1 :]])
+            place(i + 1, [*bins, sizes[i]])
+
+        place(0, [])
+        return best[0]
+
+    for seed in range(30):
+        sizes = sorted(np.random.default_rng(seed).integers(1, 11, 9).tolist(), reverse=True)
+        found, bound = packing.plan(np.bincount(sizes, minlength=11), 10)
+        assert bound <= fewest(sizes) <= sum(n for _, n in found) <= fewest(sizes) + 1
 
 
 def test_quality_rules(docs, rows):

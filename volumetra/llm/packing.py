@@ -3,12 +3,14 @@
 Documents become pieces of at most ``CAPACITY`` tokens (only longer documents are
 cut; their first piece may be shorter). The histogram of lengths, at most
 ``CAPACITY`` numbers, goes to the driver. A configuration is a multiset of lengths
-that fits. Multiplicative weights solve the covering program: each round prices
+that fits. Multiplicative weights work on the covering program: each round prices
 lengths by their weights, a knapsack dynamic program finds the most valuable
-configuration, and the weights of the lengths it covers shrink. The counts of
-configurations are rounded down; the rest is solved again, and a last rest is
-placed best fit. Pieces are ranked within their length by counts of hash buckets
-(one length may hold most rows) and looked up in the plan, a table of bounded size.
+configurations, and the weights of the lengths they cover shrink. Each round's
+configurations are used whole numbers of times, and a last rest is placed best fit;
+best fit alone is taken where it needs fewer sequences. The dual value of the prices
+bounds how many any packing needs. Pieces are ranked within their length by counts of
+hash buckets (one length may hold most rows) and looked up in the plan, a table of
+bounded size.
 
 Null and empty texts are one piece, of the end token alone. An empty table gives
 an empty result.
@@ -17,6 +19,7 @@ an empty result.
 from __future__ import annotations
 
 import functools
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +39,10 @@ CACHE = 200_000
 SLICE = 1_000_000
 #: In place of an encoding: the text with this word is encoded whole.
 ODD = b"odd"
-ROUNDS, EPSILON = 400, 0.25
+#: Rates of the weights; rounds at most; the shares of pieces left at which a program is rounded; what a round places at most; worth given up against the best.
+RATES, ROUNDS = (0.001, 0.05), 400
+LEFT = (0.6, 0.3, 0.1, 0.02)
+SHARE, SLACK = 0.25, 0.002
 
 
 class Ids:
@@ -155,80 +161,123 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     return slim(docs).mapInPandas(run, schema)
 
 
-def price(value: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
-    """The most valuable multiset of lengths that fits (knapsack by capacity); how often each length is in it.
-
-    ``value`` and ``counts`` are by length; lengths that have no pieces are worth nothing.
-    """
+def priced(value: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack by capacity over the lengths that have pieces: the best worth within each capacity, and a length taken for it (0: none)."""
     live = np.flatnonzero(counts > 0)
-    best = np.zeros(capacity + 1)
-    taken = np.full(capacity + 1, -1)
-    worth = value[live]
-    for c in range(1, capacity + 1):
-        n = np.searchsorted(live, c, "right")
-        best[c] = best[c - 1]
-        if n:
-            gain = best[c - live[:n]] + worth[:n]
-            k = int(gain.argmax())
-            if gain[k] > best[c] + 1e-15:
-                best[c], taken[c] = gain[k], live[k]
-    out, c = np.zeros(capacity + 1, dtype=np.int64), capacity
-    while c > 0:
-        if taken[c] < 0:
-            c -= 1
+    worth, ends = value[live], np.searchsorted(live, np.arange(capacity + 1), "right")
+    best, taken = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
+    for c in range(int(live[0]), capacity + 1):
+        gain = best[c - live[: ends[c]]] + worth[: ends[c]]
+        k = int(gain.argmax())
+        if gain[k] >= best[c - 1]:
+            best[c], taken[c] = gain[k], live[k]
         else:
-            out[taken[c]] += 1
+            best[c] = best[c - 1]
+    return best, taken
+
+
+def filled_up(length: int, taken: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most valuable configuration that holds ``length``: its lengths and how often each."""
+    found, c = [length], capacity - length
+    while c > 0:
+        if taken[c]:
+            found.append(int(taken[c]))
             c -= taken[c]
-    return out
+        else:
+            c -= 1
+    return np.unique(found, return_counts=True)
 
 
-def fractional(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often to use them, covering every length's count.
+class Program:
+    """The covering program over configurations, solved and rounded together by multiplicative weights at one rate.
 
-    Multiplicative weights for covering: a configuration is used until the length
-    that it exhausts first has lost a share EPSILON of its weight.
+    A length's weight begins at size * count and falls by the factor exp(-rate * share)
+    as its pieces are covered; its price is weight / count, the dual variable of its row.
+    Each round's knapsack prices all configurations; the best one around each length, if
+    its worth is within SLACK of the best of all, is used a whole number of times,
+    for at most SHARE of the pieces that any of its lengths has left.
     """
-    live = counts > 0
-    covered = np.zeros(len(counts))
-    used: dict[bytes, float] = {}
-    weight = np.zeros(len(counts))
-    for _ in range(rounds):
-        # A length's price: its size, which fills sequences, times a weight exp(-covered share / EPSILON).
-        share = np.where(live, covered / np.maximum(counts, 1), np.inf)
-        weight[live] = np.exp(-(share[live] - share[live].min()) / EPSILON)
-        config = price(np.where(live, weight * np.arange(len(counts)), 0.0), counts, capacity)
-        inside = config > 0
-        step = float((counts[inside] / config[inside]).min()) * EPSILON / 2
-        covered[inside] += step * config[inside]
-        key = config.tobytes()
-        used[key] = used.get(key, 0.0) + step
-    scale = (covered[live] / counts[live]).max()  # rounded down below, so that no length is used beyond its count
-    return [(np.frombuffer(k, dtype=np.int64), v / scale) for k, v in used.items()]
-
-
-def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[np.ndarray, int]]:
-    """Whole configurations (how often each length), and how many sequences have each; every piece is in one."""
-    rest = np.array(counts, dtype=np.int64).copy()
-    out: list[tuple[np.ndarray, int]] = []
-    # A piece without room for another has one configuration.
-    least = np.flatnonzero(rest)[0] if rest.any() else capacity + 1
-    for length in np.flatnonzero(rest):
-        if length + least > capacity:
-            out.append((np.eye(1, capacity + 1, length, dtype=np.int64)[0], int(rest[length])))
-            rest[length] = 0
-    for attempt in range(6):
-        before = rest.sum()
-        if before <= 200:
-            break
-        for config, times in sorted(fractional(rest, capacity, ROUNDS if attempt == 0 else ROUNDS // 2), key=lambda x: -x[1]):
-            inside = config > 0
-            n = min(int(times + 1e-9), int((rest[inside] // config[inside]).min()))
+
+    def __init__(self, counts: np.ndarray, capacity: int, rate: float):
+        self.counts, self.capacity, self.rate = np.array(counts, dtype=np.int64), capacity, rate
+        self.rest, self.used = self.counts.copy(), {}
+        #: No packing has fewer sequences: prices, scaled so that no configuration is worth more than 1, summed over all pieces.
+        self.bound = 0.0
+
+    def step(self) -> bool:
+        """One round; whether it placed anything."""
+        live = np.flatnonzero(self.rest > 0)
+        if not len(live):
+            return False
+        known = np.flatnonzero(self.counts > 0)
+        value = np.zeros(self.capacity + 1)
+        covered = 1 - self.rest[known] / self.counts[known]
+        value[known] = known * np.exp(-self.rate * (covered - covered.min()))
+        best, taken = priced(value, self.rest, self.capacity)
+        if not self.used:  # all lengths are live: the prices are feasible for the whole program
+            self.bound = float((self.counts * value).sum() / best[self.capacity])
+        good = (value[live] + best[self.capacity - live]) / best[self.capacity]
+        share = self.rest[live] / self.counts[live]
+        budget = np.maximum(1, np.floor(SHARE * self.rest)).astype(np.int64)
+        before = self.rest.sum()
+        for i in np.lexsort((-live, -share, -good)):
+            if good[i] < good.max() - SLACK:
+                break
+            if budget[live[i]] < 1:
+                continue
+            lengths, times = filled_up(int(live[i]), taken, self.capacity)
+            n = int((np.minimum(budget[lengths], self.rest[lengths]) // times).min())
+            if n < 1 and (self.rest[lengths] >= times).all() and (budget[lengths] > 0).all():
+                n = 1
             if n > 0:
-                out.append((config, n))
-                rest -= n * config
-        if rest.sum() > 0.98 * before:
+                self.rest[lengths] -= n * times
+                budget[lengths] -= n * times
+                key = (tuple(lengths.tolist()), tuple(times.tolist()))
+                self.used[key] = self.used.get(key, 0) + n
+        return self.rest.sum() < before
+
+    def whole(self) -> list[tuple[np.ndarray, int]]:
+        """Its configurations and how often, the pieces that are left placed best fit."""
+        out = []
+        for (lengths, times), n in self.used.items():
+            config = np.zeros(self.capacity + 1, dtype=np.int64)
+            config[list(lengths)] = times
+            out.append((config, n))
+        return out + best_fit(self.rest, self.capacity)
+
+
+def area_bound(counts: np.ndarray, capacity: int) -> int:
+    """The dual value of prices in proportion to size, and of price 1 for what fills over half a sequence."""
+    sizes = np.arange(len(counts))
+    return int(max(-(-int((counts * sizes).sum()) // capacity), counts[sizes > capacity / 2].sum()))
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[np.ndarray, int]], int]:
+    """Whole configurations (how often each length) with how many sequences have each, every piece in one; and a lower bound of sequences.
+
+    Programs of several rates are rounded when several shares of the pieces are
+    left; the fewest sequences win, best fit alone included.
+    """
+    counts = np.array(counts, dtype=np.int64)
+    size = lambda found: sum(n for _, n in found)
+    bound, chosen = area_bound(counts, capacity), best_fit(counts, capacity)
+    if size(chosen) <= bound:
+        return chosen, bound
+    for rate in RATES:
+        program, left = Program(counts, capacity, rate), list(LEFT)
+        for _ in range(ROUNDS):
+            moved = program.step()
+            while left and (program.rest.sum() <= left[0] * counts.sum() or not moved):
+                left.pop(0)
+                found = program.whole()
+                if size(found) < size(chosen):
+                    chosen = found
+            if not left or not moved:
+                break
+        bound = max(bound, math.ceil(program.bound - 1e-6))
+        if size(chosen) <= bound:
             break
-    return out + best_fit(rest, capacity)
+    return chosen, bound
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -273,7 +322,7 @@ def packed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for r in rows.groupBy("length").count().collect():
         counts[r["length"]] = r["count"]
-    place = rows.sparkSession.sparkContext.broadcast(lookup(plan(counts, capacity)))
+    place = rows.sparkSession.sparkContext.broadcast(lookup(plan(counts, capacity)[0]))
 
     @F.pandas_udf("sequence_id long, offset long")
     def where(length: pd.Series, rank: pd.Series) -> pd.DataFrame:

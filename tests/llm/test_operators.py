@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from volumetra.llm import byte_bpe, fingerprints, katz, labelled, near_dedup, packing, quality_classifier, quality_rules, secrets, sharding, toxicity
-from volumetra.llm.common import table
+from volumetra.llm.common import held_out, table
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -428,24 +428,37 @@ def test_katz(docs, rows, monkeypatch, chunk):
     train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
     one, two = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([1] + t[:-1], t, strict=True))
     n = sum(one.values())
-    slopes = [katz.slope([Counter(c.values()).get(r, 0) for r in range(1, katz.MOST_RANK + 1)]) for c in (one, two)]
+    three = Counter(p for t in train for p in zip(([1, 1] + t)[: len(t)], [1] + t[:-1], t, strict=True))
+    slopes = [katz.slope([Counter(c.values()).get(r, 0) for r in range(1, katz.MOST_RANK + 1)]) for c in (one, two, three)]
     less = lambda c, b: c * (1 + 1 / c) ** (b + 1)
     unknown = 1 - sum(less(c, slopes[0]) for c in one.values()) / n
     p_one = lambda w: less(one[w], slopes[0]) / n if w in one else unknown
-    after = defaultdict(list)
+    after, after_two = defaultdict(list), defaultdict(list)
     for h, w in two:
         after[h].append(w)
+    for g, h, w in three:
+        if three[g, h, w] > 1:
+            after_two[g, h].append(w)
     count = lambda h: len(train) if h == 1 else one[h]
-    alpha = {h: (1 - sum(less(two[h, w], slopes[1]) for w in f) / count(h)) / (1 - sum(p_one(w) for w in f)) for h, f in after.items()}
-    p = lambda w, h: p_one(w) if h not in after else less(two[h, w], slopes[1]) / count(h) if (h, w) in two else alpha[h] * p_one(w)
-    got = {r["doc_id"]: r for r in katz.op10(docs).collect()}
-    for i, t in tokens.items():
-        r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(w in one for w in t), n)
-        assert math.isclose(r["base_score"], sum(math.log10((one[w] + 1) / (n + len(one) + 1)) for w in t), rel_tol=1e-9)
-        assert math.isclose(r["score"], sum(math.log10(p(w, h)) for h, w in zip([1] + t[:-1], t, strict=True)), rel_tol=1e-6)
+    count_two = lambda g, h: len(train) if h == 1 else two[g, h]
+    own_two = lambda w, h: less(two[h, w], slopes[1]) / count(h)
+    alpha = {h: (1 - sum(own_two(w, h) for w in f)) / (1 - sum(p_one(w) for w in f)) for h, f in after.items()}
+    p_two = lambda w, h: p_one(w) if h not in after else own_two(w, h) if (h, w) in two else alpha[h] * p_one(w)
+    own_three = lambda w, g, h: less(three[g, h, w], slopes[2]) / count_two(g, h)
+    alpha_two = {k: (1 - sum(own_three(w, *k) for w in f)) / (1 - sum(p_two(w, k[1]) for w in f)) for k, f in after_two.items()}
+    p = lambda w, g, h: own_three(w, g, h) if three.get((g, h, w), 0) > 1 else alpha_two.get((g, h), 1.0) * p_two(w, h)
+    for order in (2, 3):
+        got = {r["doc_id"]: r for r in (katz.op10(docs) if order == 3 else katz.scores(docs, ~held_out(7), 2)).collect()}
+        for i, t in tokens.items():
+            r = got[i]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(w in one for w in t), n)
+            assert math.isclose(r["base_score"], sum(math.log10((one[w] + 1) / (n + len(one) + 1)) for w in t), rel_tol=1e-9)
+            expected = sum(math.log10(p(w, g, h) if order == 3 else p_two(w, h)) for g, h, w in zip(([1, 1] + t)[: len(t)], [1] + t[:-1], t, strict=True))
+            assert math.isclose(r["score"], expected, rel_tol=1e-6)
     h = max(after, key=lambda x: len(after[x]))
-    assert math.isclose(sum(p(w, h) for w in one) + p(b"\xff never seen", h), 1, rel_tol=1e-9)
+    assert math.isclose(sum(p_two(w, h) for w in one) + p_two(b"\xff never seen", h), 1, rel_tol=1e-9)
+    k = max(after_two, key=lambda x: len(after_two[x]))
+    assert math.isclose(sum(p(w, *k) for w in one) + p(b"\xff never seen", *k), 1, rel_tol=1e-9)
 
 
 def test_labelled_sample_is_bounded(docs, labels):

@@ -51,19 +51,27 @@ BATCH_BYTES = 4 << 20
 _open: list[list[tuple[SparkSession, str]]] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session's Python workers get batches of at most BATCH_BYTES, so that their memory, and Arrow's, stays small beside the heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def saved(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    Python workers get batches of at most BATCH_BYTES meanwhile. Inside ``scratch``
-    the table goes when that ends, unless it is kept.
+    The job's shuffle files go when it ends. Inside ``scratch`` the table goes when
+    that ends; one that is kept, when the ``scratch`` around that one ends, if there is one.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    if _open and not keep:
-        _open[-1].append((spark, path))
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if len(_open) > keep:
+        _open[-1 - keep].append((spark, path))
+    small_batches(spark)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(BATCH_BYTES))
+    spark.conf.set(name, "true")
     try:
         df.write.parquet(path)
     finally:
@@ -78,7 +86,7 @@ def dropped(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def scratch() -> Iterator[None]:
-    """The tables saved meanwhile, but for kept ones, are deleted at the end: the result must read kept ones only."""
+    """The tables saved meanwhile, but for kept ones, are deleted at the end: what follows must read kept ones only."""
     _open.append([])
     try:
         yield

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from volumetra import cli
 from volumetra.functions import vectors as v
 from volumetra.functions.kernels import hilbert_index, segment_box_sq
+from volumetra.functions.vectors import Vec
 from volumetra.operators import compare, join
 from volumetra.operators.index import SpatialIndex
 from volumetra.operators.placement import grid_steps
@@ -385,3 +386,110 @@ def test_stream(spark, spheres, tmp_path):
     run = standing_query(stream, "sphere", box).select("id").writeStream.format("memory").queryName("standing").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert {r["id"] for r in spark.table("standing").collect()} == {r["id"] for r in spheres.find(box).select("id").collect()}
+
+
+def test_cells_of_boxes_of_very_different_sizes(spark):
+    """One large box on each side does not make the small ones meet on its cells."""
+    rng = np.random.default_rng(3)
+    corners = ("min_x", "min_y", "min_z", "max_x", "max_y", "max_z")
+
+    def boxes(prefix, key):
+        low = rng.uniform(0, 1000, (600, 3))
+        box = np.vstack([np.hstack([low, low + 1]), [[0.0] * 3 + [1001.0] * 3]])
+        rows = [(i, *map(float, b)) for i, b in enumerate(box)]
+        return box, spark.createDataFrame(rows, f"{key} int, " + ", ".join(f"{prefix}{c} double" for c in corners))
+
+    (x, left), (y, right) = boxes("q_", "q"), boxes("e_", "e")
+    meet = ((x[:, None, :3] <= y[None, :, 3:]) & (x[:, None, 3:] >= y[None, :, :3])).all(2)
+    got = sorted(map(tuple, join.box_pairs(left, right).select("q", "e").collect()))
+    assert got == sorted(map(tuple, np.argwhere(meet).tolist()))
+
+    def leveled(rows, p):
+        return rows.withColumn(f"{p}level", join._level(Box(Vec.of([f"{p}{c}" for c in corners[:3]]), Vec.of([f"{p}{c}" for c in corners[3:]]))))
+
+    a, b = leveled(left, "q_"), leveled(right, "e_")
+    levels = [sorted({r[0] for r in t.select(f"{p}level").collect()}) for t, p in ((a, "q_"), (b, "e_"))]
+    joined = join._met(a, b, ("q_", "e_"), levels[0], 0).count() + join._met(b, a, ("e_", "q_"), levels[1], 1).count()
+    assert joined <= 10 * meet.sum()
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    rows = spark.range(1000).select("id", F.lit(1).cast("long").alias("pre_gid"), F.lit(2).cast("long").alias("post_gid"), *[(F.col("id") % 10).cast("float").alias(c) for c in "xyz"])
+    rows.write.parquet(str(tmp_path / "t"))
+    found = SpatialIndex.of(spark.read.parquet(str(tmp_path / "t")), "synapse").box_query((1, 1, 1), (3, 3, 3), fields="id")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters") :].split("]")[0]
+    assert all(f"GreaterThanOrEqual({c},1.0)" in pushed and f"LessThanOrEqual({c},3.0)" in pushed for c in "xyz"), pushed
+    assert found.count() == 300
+
+
+def test_stored_index_prunes_parts_by_a_join(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    index = builders.spheres_from_arrays(spark, rng.uniform(0, 1, (500, 3)), np.full(500, 0.01))
+    layout.write(index, str(tmp_path / "i"), (2, 2, 2))
+    stored = layout.open_index(spark, str(tmp_path / "i"))
+    for low, high in (((0, 0, 0), (0.2, 0.2, 0.2)), ((2, 2, 2), (3, 3, 3)), ((0, 0, 0), (1, 1, 1))):
+        ids = lambda i: sorted(r[0] for r in i.box_query(low, high, fields="id").collect())  # noqa: B023, E731
+        assert ids(stored) == ids(index)
+    assert "part_id IN" not in stored.box_query((0, 0, 0), (0.2, 0.2, 0.2))._jdf.queryExecution().optimizedPlan().toString()
+    for k in (1, 7, 600):
+        near = [list(map(tuple, i.nearest((0.3, 0.3, 0.3), k).collect())) for i in (stored, index)]
+        assert near[0] == near[1] and len(near[0]) == min(k, 500)
+
+
+def test_segment_tests_compile(spark, capfd):
+    from volumetra import queries
+
+    for name in ("segment_sphere_be", "segment_box_be", "segment_cylinder", "segment_join_cylinders"):
+        queries.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
+    said = capfd.readouterr()
+    assert "64 KB" not in said.err + said.out
+
+
+def test_segment_and_box_distances_as_columns(spark):
+    rng = np.random.default_rng(8)
+    p, q, a, b = (rng.uniform(-1, 1, (300, 3)) for _ in range(4))
+    q[:20] = p[:20]  # points
+    q[20:60, 0] = p[20:60, 0]  # level along an axis
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    rows = [tuple(float(v) for v in (*w, *x, *y, *z)) for w, x, y, z in zip(p, q, low, high, strict=True)]
+    names = [f"{k}{i}" for k in "pqlh" for i in range(3)]
+    d = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    got = d.select(v.segment_box_sq(*[Vec.of([f"{k}{i}" for i in range(3)]) for k in "pqlh"]).alias("d")).collect()
+    assert np.allclose([r[0] for r in got], segment_box_sq(p, q, low, high), atol=1e-12)
+
+
+def test_neurons_of_a_soma_alone(spark):
+    rows = builders.neuron(spark, 4, [[1, 2, 3]], [2], []).collect()
+    assert [(r["gid"], r["section_id"], r["is_soma"], r["radius"]) for r in rows] == [(4, 0, True, 2.0)]
+    with pytest.raises(ValueError, match="offset"):
+        builders.neuron(spark, 4, [[1, 2, 3], [2, 2, 2], [3, 3, 3]], [2, 1, 1], [])
+
+
+def test_synthetic_ids_and_sizes(spark):
+    rows = builders.synthetic_morphologies(spark, 3, 4, 10.0).elements.collect()
+    assert sorted(r["section_id"] for r in rows) == sorted([1, 2, 3, 4] * 3)
+    assert {(r["gid"], r["segment_id"], r["section_type"], r["is_soma"]) for r in rows} == {(0, 0, 0, False)}
+    for n in range(1, 400):
+        small = max(i for i in range(1, n + 1) if n % i == 0 and i * i <= n)
+        assert v.closest_factors(n) == (small, n // small)
+    assert builders.synthetic_sizes(12) == (3, 4)
+
+
+def test_histogram_edges(spark):
+    from volumetra.operators import histogram
+
+    edges = histogram.log10_bins()
+    lengths = [0.0, 1e-9, *edges, *[e * (1 - 1e-12) for e in edges], *[e * (1 + 1e-12) for e in edges], 1e9]
+    got = spark.createDataFrame([(x,) for x in lengths], "x double").select(histogram._bin(F.col("x"), edges)).collect()
+    assert [r[0] for r in got] == [sum(e <= x for e in edges) for x in lengths]
+
+
+def test_nan_is_refused_when_an_index_is_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, float("nan"), 0.0, 0.0), (2, 0.0, 0.0, 0.0)], "id long, x float, y float, z float")
+    index = SpatialIndex.of(rows, "point")
+    assert [r[0] for r in index.box_query((-1, -1, -1), (1, 1, 1), fields="id").collect()] == [2]
+    with pytest.raises(Exception, match="NaN"):
+        layout.write(index, str(tmp_path / "n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def segment_box_sq(p1: np.ndarray, p2: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Squared distance of segments and boxes (n x 3 each).
+    """Squared distance of segments and boxes (n x 3 each), for arrays on the driver; tests hold the Column form against it.
 
     Along a segment the squared distance is convex and piecewise quadratic: its
     derivative is linear between the points where a coordinate enters or leaves
@@ -37,19 +37,6 @@ def _stack(columns) -> np.ndarray:
     return np.stack([c.to_numpy(dtype=np.float64) for c in columns], axis=1)
 
 
-def _capsules(
-    a1: pd.Series, a2: pd.Series, a3: pd.Series, b1: pd.Series, b2: pd.Series, b3: pd.Series, radius: pd.Series,
-    c1: pd.Series, c2: pd.Series, c3: pd.Series, d1: pd.Series, d2: pd.Series, d3: pd.Series,
-) -> pd.Series:
-    near = segment_box_sq(_stack((a1, a2, a3)), _stack((b1, b2, b3)), _stack((c1, c2, c3)), _stack((d1, d2, d3)))
-    return pd.Series((near < radius.to_numpy(dtype=np.float64) ** 2) | (near == 0))
-
-
-def capsule_meets_box(*columns: Column) -> Column:
-    """Whether the capsule around a-b meets the box c-d: nearer than its radius, or the axis touches. Columns: a, b, radius, c, d."""
-    return F.pandas_udf(_capsules, "boolean")(*columns)
-
-
 def hilbert_index(cells: np.ndarray, order: int = 10) -> np.ndarray:
     """Position on a 3-D Hilbert curve of integer cells (n x 3, each below 2**order), by Skilling's transform."""
     x = cells.astype(np.int64).T.copy()

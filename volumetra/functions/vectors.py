@@ -139,16 +139,73 @@ def point_segment_sq(x: Vec, a: Vec, b: Vec) -> Column:
     return dist_sq(x, a + (b - a) * t)
 
 
+def let(body, **values: Column) -> Column:
+    """``body`` of values that are computed once a row: each is a field of a struct, so that no expression is written out again at every use."""
+    held = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.element_at(F.transform(F.array(held), body), 1)
+
+
+def held(**vectors: Vec) -> dict[str, Column]:
+    """The components of vectors as fields for ``let``; ``vec`` reads them there."""
+    return {f"{k}{i}": c for k, v in vectors.items() for i, c in enumerate(v)}
+
+
+def vec(fields: Column, name: str) -> Vec:
+    return Vec(*[fields[f"{name}{i}"] for i in range(3)])
+
+
 def segment_segment_sq(a0: Vec, a1: Vec, b0: Vec, b1: Vec) -> Column:
     """Squared distance of two segments: of the lines' nearest points if both lie inside, else an end is nearest."""
-    u, v, w = a1 - a0, b1 - b0, a0 - b0
-    uu, uv, vv, uw, vw = u.norm_sq(), u.dot(v), v.norm_sq(), u.dot(w), v.dot(w)
-    det = uu * vv - uv * uv
-    s, t = F.try_divide(uv * vw - vv * uw, det), F.try_divide(uu * vw - uv * uw, det)
-    inside = s.between(0.0, 1.0) & t.between(0.0, 1.0)
-    lines = F.when(inside, (w + u * s - v * t).norm_sq())
-    ends = [point_segment_sq(a0, b0, b1), point_segment_sq(a1, b0, b1), point_segment_sq(b0, a0, a1), point_segment_sq(b1, a0, a1)]
-    return F.least(*ends, F.coalesce(lines, ends[0]))
+
+    def products(f: Column) -> Column:
+        u, v, w = (vec(f, n) for n in "uvw")
+        return let(nearest, uu=u.norm_sq(), uv=u.dot(v), vv=v.norm_sq(), uw=u.dot(w), vw=v.dot(w), ww=w.norm_sq())
+
+    def nearest(f: Column) -> Column:
+        uu, uv, vv, uw, vw, ww = (f[n] for n in ("uu", "uv", "vv", "uw", "vw", "ww"))
+
+        def end(away: Column, dot: Column, size: Column) -> Column:
+            """From an end to the other segment: its squared distance from that one's start, its dot with that one's axis, the axis squared."""
+            t = clamp(F.coalesce(F.try_divide(dot, size), F.lit(0.0)), F.lit(0.0), F.lit(1.0))
+            return let(lambda g: g["away"] - g["t"] * (2 * g["dot"] - g["t"] * g["size"]), t=t, away=away, dot=dot, size=size)
+
+        def inner(g: Column) -> Column:
+            s, t = g["s"], g["t"]
+            return F.when(s.between(0.0, 1.0) & t.between(0.0, 1.0), ww + s * (s * uu + 2 * uw) + t * (t * vv - 2 * vw) - 2 * s * t * uv)
+
+        det = uu * vv - uv * uv
+        lines = let(inner, s=F.try_divide(uv * vw - vv * uw, det), t=F.try_divide(uu * vw - uv * uw, det))
+        ends = [end(ww, vw, vv), end(ww + 2 * uw + uu, vw + uv, vv), end(ww, -uw, uu), end(ww - 2 * vw + vv, uv - uw, uu)]
+        return F.greatest(F.lit(0.0), F.least(*ends, lines))  # least passes over a null
+
+    return let(products, **held(u=a1 - a0, v=b1 - b0, w=a0 - b0))
+
+
+def segment_box_sq(p1: Vec, p2: Vec, low: Vec, high: Vec) -> Column:
+    """Squared distance of a segment and a box.
+
+    Along a segment the squared distance is convex and piecewise quadratic: its
+    derivative is linear between the points where a coordinate enters or leaves
+    the box's range, so the minimum is at one of these, an end, or the root of the
+    derivative between two of them.
+    """
+
+    def over(f: Column) -> Column:
+        p, d, low, high = (vec(f, n) for n in ("p", "d", "l", "h"))
+        outside = lambda t: (p + d * t).zip(low, lambda x, a: F.least(x - a, F.lit(0.0))) + (p + d * t).zip(high, lambda x, b: F.greatest(x - b, F.lit(0.0)))
+        cuts = [clamp(F.coalesce(F.try_divide(edge - at, way), F.lit(0.0)), F.lit(0.0), F.lit(1.0)) for corner in (low, high) for edge, at, way in zip(corner, p, d, strict=True)]
+
+        def nearest(g: Column) -> Column:
+            between = F.transform(F.sequence(F.lit(0), F.size(g["t"]) - 2), lambda i: root(g["t"][i], g["t"][i + 1], g["slope"][i], g["slope"][i + 1]))
+            return F.array_min(F.transform(F.concat(g["t"], between), lambda t: outside(t).norm_sq()))
+
+        def root(t: Column, t2: Column, g: Column, g2: Column) -> Column:
+            return F.when((g < 0) & (g2 > 0), t - g * (t2 - t) / (g2 - g)).otherwise(t)
+
+        at = F.array_sort(F.array(F.lit(0.0), F.lit(1.0), *cuts))
+        return let(lambda g: let(nearest, t=g["t"], slope=F.transform(g["t"], lambda t: outside(t).dot(d))), t=at)
+
+    return let(over, **held(p=p1, d=p2 - p1, l=low, h=high))
 
 
 def rotate(q: tuple[Column, Column, Column, Column], p: Vec) -> Vec:
@@ -185,5 +242,20 @@ def balanced_chunks(n: int, k: int) -> list[tuple[int, int]]:
 
 
 def closest_factors(n: int) -> tuple[int, int]:
-    """The pair of divisors whose quotient is nearest to one, the smaller first; (0, 1) for 0."""
-    return next(((i, n // i) for i in range(int(n**0.5), 0, -1) if n % i == 0), (n, 1))
+    """The two factors of n nearest to each other, the smaller first; (0, 1) for 0.
+
+    Every divisor is a product of some of n's prime factors, so all of them are
+    gathered prime by prime; the largest whose square is at most n is the smaller.
+    """
+    if n == 0:
+        return 0, 1
+    divisors, rest, prime = {1}, n, 2
+    while rest > 1:
+        if prime * prime > rest:
+            prime = rest
+        while rest % prime == 0:
+            divisors |= {d * prime for d in divisors}
+            rest //= prime
+        prime += 1
+    small = max(d for d in divisors if d * d <= n)
+    return small, n // small

@@ -47,9 +47,11 @@ def likely_same(left: SpatialIndex, right: SpatialIndex, confidence: float = 0.9
     if a[0] is None:
         return True
     rng, rows = random.Random(seed), []
-    sides = {c: (a[f"min_{c}"], a[f"max_{c}"]) for c in "xyz"}
+    # Windows of about one element, were they spread evenly.
+    extent = [a[f"max_{c}"] - a[f"min_{c}"] for c in "xyz"]
+    half = [e / len(left) ** (1 / 3) / 2 for e in extent]
     for i in range(n_windows(confidence, error_rate)):
-        pairs = [sorted((rng.uniform(*sides[c]), rng.uniform(*sides[c]))) for c in "xyz"]
-        rows.append((i, *[p[0] for p in pairs], *[p[1] for p in pairs]))
+        at = [rng.uniform(a[f"min_{c}"], a[f"max_{c}"]) for c in "xyz"]
+        rows.append((i, *[x - h for x, h in zip(at, half, strict=True)], *[x + h for x, h in zip(at, half, strict=True)]))
     windows = left.elements.sparkSession.createDataFrame(rows, "window int, ax double, ay double, az double, bx double, by double, bz double")
-    return windows_equal(left, right, windows, rtol * max(abs(v) for v in a))
+    return windows_equal(left, right, windows, rtol * max(extent))

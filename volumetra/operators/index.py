@@ -79,13 +79,16 @@ class SpatialIndex:
 
     # -- queries
 
+    def _of_parts(self, test: Column) -> DataFrame:
+        """Rows of the parts that pass: a semi-join with the filtered manifest, by which the partitions to read are pruned at run time."""
+        return self.elements.join(self.manifest.where(test).select("part_id"), "part_id", "left_semi")
+
     def find(self, query, accuracy: str = "best_effort") -> DataFrame:
         """Whole rows of elements that intersect a shape."""
         rows, shape = self.elements, element_shape(self.element_type)
         box_test, exact = condition(query, shape, accuracy)
         if self.manifest is not None:  # parts whose box does not meet the query are not read
-            boxes = self.manifest.where(element_shape("box").meets(query.box())).select("part_id")
-            rows = rows.where(F.col("part_id").isin([r[0] for r in boxes.collect()]))
+            rows = self._of_parts(element_shape("box").meets(query.box()))
         if set(BOUNDS) <= set(rows.columns):  # plain comparisons reach the scan
             rows = rows.where(element_shape("box").meets(query.box()))
         return rows.where(box_test).where(exact)
@@ -133,15 +136,12 @@ class SpatialIndex:
 
         if self.manifest is None:
             return top(self.elements).select(*keys, "distance_sq")
-        parts = self.manifest.select("part_id", "n_elements", element_shape("box").distance_sq(p).alias("d")).orderBy("d", "part_id").collect()
-        ids, n = [], 0
-        while n < k and len(ids) < len(parts):  # enough rows from the nearest parts bound the k-th distance
-            ids.append(parts[len(ids)]["part_id"])
-            n += parts[len(ids) - 1]["n_elements"]
-        first = top(self.elements.where(F.col("part_id").isin(ids))).agg(F.max("distance_sq").alias("d"), F.count("*").alias("n")).first()
-        if first["n"] == k:
-            ids = [r["part_id"] for r in parts if r["d"] <= first["d"]]
-        return top(self.elements.where(F.col("part_id").isin(ids))).select(*keys, "distance_sq")
+        d = element_shape("box").distance_sq(p)
+        # No part is empty, so that k of them have k elements: at most k numbers.
+        near = [r[0] for r in self.manifest.orderBy(d, "part_id").limit(k).select("part_id").collect()]
+        first = top(self.elements.where(F.col("part_id").isin(near))).agg(F.max("distance_sq").alias("d"), F.count("*").alias("n")).first()
+        rows = self._of_parts(d <= F.lit(first["d"])) if first["n"] == k else self.elements
+        return top(rows).select(*keys, "distance_sq")
 
     def bounds(self) -> DataFrame:
         """min_x ... max_z over the boxes of all elements; of a stored index from its manifest."""

@@ -2,9 +2,11 @@
 
 Each box has a level: the power of two that its longest side does not exceed. A
 pair meets on the larger of its two levels, where both cover at most eight cells:
-an equi-join on (level, cell), never a nested loop. A pair that shares several
-cells counts in the one with the larger of the lower corners. Hot cells are an
-equi-join's hot keys, which adaptive execution splits.
+an equi-join on (level, cell) of the larger boxes with the smaller ones, once with
+the queries and once with the elements as the larger; boxes of one side never meet
+on a level that neither has. A pair that shares several cells counts in the one
+with the larger of the lower corners. Hot cells are an equi-join's hot keys, which
+adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -28,16 +30,26 @@ def _level(box: Box) -> Column:
     return F.ceil(F.log2(side)).cast("int")
 
 
-def _celled(rows: DataFrame, prefix: str, levels: list[int]) -> DataFrame:
-    """A row for each level from its own up that occurs, and cell that its box covers there."""
+def _celled(rows: DataFrame, prefix: str, level: Column) -> DataFrame:
+    """A row for each cell that a row's box covers at a level, ``_at``."""
     low, high = [f"{prefix}min_{c}" for c in "xyz"], [f"{prefix}max_{c}" for c in "xyz"]
-    rows = rows.withColumn("_at", F.explode(F.filter(F.lit(levels).cast("array<int>"), lambda v: v >= F.col(f"{prefix}level"))))
+    rows = rows.withColumn("_at", level)
     size = F.pow(F.lit(2.0), F.col("_at"))
     for i, (a, b) in enumerate(zip(low, high, strict=True)):
         rows = rows.withColumn(f"_c{i}", F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))))
     return rows
 
 
+def _met(large: DataFrame, small: DataFrame, of: tuple[str, str], levels: list[int], more: int) -> DataFrame:
+    """Pairs that meet on the level of the ``large`` side's box; the small ones' levels are lower by ``more`` or more.
+
+    A small box goes to the cells of those levels alone that a large one has.
+    """
+    at = F.explode(F.filter(F.lit(levels).cast("array<int>"), lambda v: v >= F.col(f"{of[1]}level") + more))
+    a = _celled(large, of[0], F.col(f"{of[0]}level"))
+    return a.join(_celled(small, of[1], at), ["_at", "_c0", "_c1", "_c2"])
+
+
 def box_pairs(queries: DataFrame, elements: DataFrame) -> DataFrame:
     """Pairs whose boxes intersect. Both tables have a box: q_min_x ... of queries, e_min_x ... of elements."""
 
@@ -47,16 +59,15 @@ def box_pairs(queries: DataFrame, elements: DataFrame) -> DataFrame:
 
     queries, elements = leveled(queries, "q_"), leveled(elements, "e_")
     # A few dozen numbers: the exponents of box sides.
-    found = queries.select("q_level").union(elements.select("e_level")).distinct().collect()
-    levels = sorted(r[0] for r in found if r[0] is not None)
-    q, e = _celled(queries, "q_", levels), _celled(elements, "e_", levels)
-    meet = ["_at", "_c0", "_c1", "_c2"]
-    pairs = q.join(e, meet).where(F.col("_at") == F.greatest("q_level", "e_level"))
+    found = queries.select("q_level", F.lit(True).alias("q")).union(elements.select("e_level", F.lit(False))).distinct().collect()
+    levels = [sorted(r[0] for r in found if r["q"] is q and r[0] is not None) for q in (True, False)]
+    by_query = _met(queries, elements, ("q_", "e_"), levels[0], 0)
+    pairs = by_query.unionByName(_met(elements, queries, ("e_", "q_"), levels[1], 1))
     size = F.pow(F.lit(2.0), F.col("_at"))
     for i, c in enumerate("xyz"):
         pairs = pairs.where((F.col(f"q_min_{c}") <= F.col(f"e_max_{c}")) & (F.col(f"q_max_{c}") >= F.col(f"e_min_{c}")))
         pairs = pairs.where(F.floor(F.greatest(f"q_min_{c}", f"e_min_{c}") / size) == F.col(f"_c{i}"))
-    return pairs.drop(*meet, "q_level", "e_level")
+    return pairs.drop("_at", "_c0", "_c1", "_c2", "q_level", "e_level")
 
 
 def with_box(rows: DataFrame, shape, prefix: str) -> DataFrame:

@@ -7,12 +7,14 @@ shape may reach beyond the region's far side.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
-from pyspark.sql import functions as F
 
 from ..functions.vectors import Vec
 from .index import SpatialIndex
-from .shapes import Cylinder, Sphere, condition, element_shape
+from .join import spatial_join
+from .shapes import Box, Cylinder, Sphere, element_shape
 
 
 def grid_steps(low, high) -> tuple[list[int], list[float]]:
@@ -33,14 +35,11 @@ def first_free(index: SpatialIndex, region: tuple, shape) -> tuple[float, float,
     own = spark.range(1).select(*[v.alias(c) for c, v in zip(("ax", "ay", "az", "bx", "by", "bz"), [*box.low, *box.high], strict=True)]).first()
     cells = [(i, j, k) for i in range(numbers[0]) for j in range(numbers[1]) for k in range(numbers[2])]
     moves = [tuple(float(low[d] - own[d] + c[d] * steps[d]) for d in range(3)) for c in cells]
-    table = F.broadcast(spark.createDataFrame([(i, *m) for i, m in enumerate(moves)], "place int, dx double, dy double, dz double"))
+    table = spark.createDataFrame([(i, *m) for i, m in enumerate(moves)], "place int, dx double, dy double, dz double")
     moved = shape.translate(Vec.of(["dx", "dy", "dz"]))
     size = [own[3 + d] - own[d] for d in range(3)]
-    from .shapes import Box
-
     near = index.elements.where(element_shape(index.element_type).box().meets(Box.of(low, [h + s for h, s in zip(high, size, strict=True)])))
-    box_test, exact = condition(moved, element_shape(index.element_type))
-    taken = near.join(table, box_test).where(exact).select("place").distinct()
+    taken = spatial_join(replace(index, elements=near, manifest=None), table, moved).select("place").distinct()
     free = table.join(taken, "place", "left_anti").orderBy("place").limit(1).collect()
     return tuple(free[0][1:]) if free else None
 

@@ -15,8 +15,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import kernels
-from ..functions.vectors import Vec, along, clamp, dist_sq, lower, number, project_on_segment, segment_segment_sq, upper
+from ..functions.vectors import Vec, along, clamp, dist_sq, held, let, lower, number, project_on_segment, segment_box_sq, segment_segment_sq, upper, vec
 from ..schema import P1, P2, XYZ
 
 ACCURACIES = ("best_effort", "bounding_box")
@@ -64,13 +63,15 @@ class Box:
 class Sphere:
     centre: Vec
     radius: Column
+    #: Of radius 0: its box is bare columns, so that filters reach the scan.
+    dot: bool = False
 
     @staticmethod
     def of(centre, radius) -> Sphere:
         return Sphere(Vec.of(centre), number(F.col(radius) if isinstance(radius, str) else radius))
 
     def box(self) -> Box:
-        return Box(self.centre - self.radius, self.centre + self.radius)
+        return Box(self.centre, self.centre) if self.dot else Box(self.centre - self.radius, self.centre + self.radius)
 
     def centroid(self) -> Vec:
         return self.centre
@@ -161,14 +162,20 @@ class SomaOrSegment:
 
 def sphere_cylinder(s: Sphere, c: Cylinder) -> Column:
     """Exact for flat caps: with the axial and the radial distance from the barrel. No axis, no intersection."""
-    u, v = s.centre - c.p1, c.p2 - c.p1
-    length = v.norm()
-    axial = F.try_divide(u.dot(v), length)
-    radial = F.sqrt(F.greatest(F.lit(0.0), u.norm_sq() - axial * axial))
-    beyond = F.greatest(-axial, axial - length)
-    aside = F.greatest(F.lit(0.0), radial - c.radius)
-    hit = F.when(beyond <= 0, radial <= s.radius + c.radius).otherwise(beyond * beyond + aside * aside <= s.radius * s.radius)
-    return F.coalesce(hit, F.lit(False))
+    def near(f: Column) -> Column:
+        u, v = vec(f, "c") - vec(f, "p"), vec(f, "q") - vec(f, "p")
+        return let(distances, length=v.norm(), uu=u.norm_sq(), uv=u.dot(v), r=f["r"], s=f["s"])
+
+    def distances(f: Column) -> Column:
+        return let(hit, axial=F.try_divide(f["uv"], f["length"]), length=f["length"], uu=f["uu"], r=f["r"], s=f["s"])
+
+    def hit(f: Column) -> Column:
+        radial = F.sqrt(F.greatest(F.lit(0.0), f["uu"] - f["axial"] * f["axial"]))
+        beyond = F.greatest(-f["axial"], f["axial"] - f["length"])
+        aside = F.greatest(F.lit(0.0), radial - f["r"])
+        return F.when(beyond <= 0, radial <= f["s"] + f["r"]).otherwise(beyond * beyond + aside * aside <= f["s"] * f["s"])
+
+    return F.coalesce(let(near, **held(c=s.centre, p=c.p1, q=c.p2), r=c.radius, s=s.radius), F.lit(False))
 
 
 def intersects(a, b) -> Column:
@@ -176,7 +183,6 @@ def intersects(a, b) -> Column:
     for first, second in ((a, b), (b, a)):
         match first, second:
             case SomaOrSegment(), _:
-                # Both branches are computed; the kernel skips nothing, so somas pass it a valid axis.
                 return F.when(first.is_soma, intersects(first.sphere, second)).otherwise(intersects(first.cylinder, second))
             case Box(), Box():
                 return first.meets(second)
@@ -185,7 +191,8 @@ def intersects(a, b) -> Column:
             case Box(), Sphere():
                 return first.distance_sq(second.centre) <= second.radius * second.radius
             case Box(), Cylinder():
-                return kernels.capsule_meets_box(*second.p1, *[F.coalesce(q, p) for q, p in zip(second.p2, second.p1, strict=True)], second.radius, *first.low, *first.high)
+                away = segment_box_sq(second.p1, second.p2, first.low, first.high)
+                return let(lambda f: (f["d"] < f["r"] * f["r"]) | (f["d"] == 0), d=away, r=second.radius)
             case Sphere(), Sphere():
                 reach = first.radius + second.radius
                 return reach * reach >= dist_sq(first.centre, second.centre)
@@ -210,7 +217,7 @@ def element_shape(element_type: str, prefix: str = ""):
         case "sphere":
             return Sphere.of(name(XYZ), F.col(f"{prefix}radius"))
         case "synapse":
-            return Sphere.of(name(XYZ), 0.0)
+            return Sphere(Vec.of(name(XYZ)), F.lit(0.0), dot=True)
         case "box":
             return Box(Vec.of(name(["min_x", "min_y", "min_z"])), Vec.of(name(["max_x", "max_y", "max_z"])))
         case "morphology":

@@ -17,7 +17,7 @@ from ..functions.kernels import hilbert
 from ..functions.vectors import balanced_chunk
 from ..operators.index import SpatialIndex
 from ..operators.shapes import element_shape
-from ..schema import BOUNDS, KEYS, META_VERSION, STRUCT_VERSION, XYZ
+from ..schema import BOUNDS, KEYS, META_VERSION, STRUCT_VERSION, XYZ, checked
 from .storage import exists, is_empty_or_new, read_json, saved, write_json
 
 DATA, MANIFEST, META = "elements", "manifest", "meta_data.json"
@@ -91,7 +91,7 @@ def write(index: SpatialIndex, path: str | None, parts: tuple[int, int, int] | N
     rows = index.elements.drop("part_id", *BOUNDS)
     box = element_shape(index.element_type).box()
     parts = parts or parts_for(rows.count())
-    tiled = saved(str_parts(rows, index.element_type, parts))
+    tiled = saved(str_parts(checked(rows, index.element_type), index.element_type, parts))
     boxed = tiled.select("*", *[v.alias(c) for c, v in zip(BOUNDS, [*box.low, *box.high], strict=True)])
     boxed.repartition("part_id").sortWithinPartitions("part_id", "min_x").write.partitionBy("part_id").parquet(f"{path}/{DATA}")
     manifest_of(tiled, index.element_type).coalesce(1).write.parquet(f"{path}/{MANIFEST}")

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder of spark.checkpoint.dir; where none is set, a temporary one under local masters only, as other machines could not see it."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="volumetra-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="volumetra-"))
         found = sc._jsc.sc().getCheckpointDir()
     return found.get()
 

@@ -193,7 +193,8 @@ def segment_sphere_be(spark, d):
 
 
 _SHARE = lambda n: f"r*sqrt(greatest(0, 1 - power(q{n}-p{n},2)/(1.1754943508222875e-38 + 1.1920928955078125e-07*greatest(r*r, px*px, py*py, pz*pz, qx*qx, qy*qy, qz*qz) + power(qx-px,2)+power(qy-py,2)+power(qz-pz,2))))"
-_SEGBOX = "segbox AS (SELECT gid, section_id, segment_id, " + ", ".join(f"least(p{n},q{n}) - {_SHARE(n)} min_{n}, greatest(p{n},q{n}) + {_SHARE(n)} max_{n}" for n in "xyz") + " FROM seg UNION ALL SELECT gid, section_id, segment_id, " + ", ".join(f"{n}-radius, {n}+radius" for n in "xyz") + " FROM som)"
+_TIGHT = ", ".join(f"least(p{n},q{n}) - {_SHARE(n)} min_{n}, greatest(p{n},q{n}) + {_SHARE(n)} max_{n}" for n in "xyz")
+_SEGBOX = f"segbox AS (SELECT gid, section_id, segment_id, {_TIGHT} FROM seg UNION ALL SELECT gid, section_id, segment_id, " + ", ".join(f"{n}-radius, {n}+radius" for n in "xyz") + " FROM som)"
 
 
 @query(f"WITH {_SEG}, {_SEGBOX} SELECT gid, section_id, segment_id FROM segbox WHERE " + " AND ".join(f"min_{n} <= {_f(b)} AND max_{n} >= {_f(a)}" for n, a, b in zip("xyz", LOW, HIGH, strict=True)))
@@ -218,7 +219,42 @@ def segment_box_be(spark, d):
     return segments(spark, d).box_query(LOW, HIGH, fields=["gid", "section_id", "segment_id"])
 
 
-@query()
+def _dot(a: str, b: str) -> str:
+    return "(" + " + ".join(f"{a}{n}*{b}{n}" for n in "xyz") + ")"
+
+
+def _less(a: str, b: str, out: str) -> str:
+    return ", ".join(f"{a}{n} - {b}{n} {out}{n}" for n in "xyz")
+
+
+def _end(x: str, a: str, v: str) -> str:
+    """Squared distance of the point x and the segment from a along v."""
+    t = f"greatest(0, least(1, coalesce(({' + '.join(f'({x}{n}-{a}{n})*{v}{n}' for n in 'xyz')}) / nullif({_dot(v, v)}, 0), 0)))"
+    return "(" + " + ".join(f"power({x}{n} - {a}{n} - {t}*{v}{n}, 2)" for n in "xyz") + ")"
+
+
+#: Of ``met`` (segments p-q of a query and e-f of an element, whose boxes meet): squared distances, as dd.
+_APART = (
+    f"axes AS (SELECT *, {_less('q', 'p', 'u')}, {_less('f', 'e', 'v')}, {_less('p', 'e', 'w')} FROM met), "
+    f"dots AS (SELECT *, {_dot('u', 'u')}*{_dot('v', 'v')} - power({_dot('u', 'v')}, 2) det FROM axes), "
+    f"lines AS (SELECT *, ({_dot('u', 'v')}*{_dot('v', 'w')} - {_dot('v', 'v')}*{_dot('u', 'w')})/nullif(det, 0) s, ({_dot('u', 'u')}*{_dot('v', 'w')} - {_dot('u', 'v')}*{_dot('u', 'w')})/nullif(det, 0) t FROM dots), "
+    f"apart AS (SELECT *, least({_end('p', 'e', 'v')}, {_end('q', 'e', 'v')}, {_end('e', 'p', 'u')}, {_end('f', 'p', 'u')}, CASE WHEN s BETWEEN 0 AND 1 AND t BETWEEN 0 AND 1 THEN {' + '.join(f'power(w{n} + s*u{n} - t*v{n}, 2)' for n in 'xyz')} END) dd FROM lines)"
+)
+_MEET = " AND ".join(f"a.min_{n} <= b.max_{n} AND a.max_{n} >= b.min_{n}" for n in "xyz")
+#: Of ``asked`` ("query", px ... qz, r): its cylinders against all segments, as capsules, and against somas, with flat caps.
+_CAPSULES = (
+    f"ask AS (SELECT *, {_TIGHT} FROM asked), own AS (SELECT *, {_TIGHT} FROM seg), "
+    f"met AS (SELECT a.\"query\", a.px, a.py, a.pz, a.qx, a.qy, a.qz, a.r, b.px ex, b.py ey, b.pz ez, b.qx fx, b.qy fy, b.qz fz, b.r er, b.gid, b.section_id, b.segment_id FROM ask a, own b WHERE {_MEET}), {_APART}, "
+    "ball AS (SELECT *, " + ", ".join(f"{n}-radius min_{n}, {n}+radius max_{n}" for n in "xyz") + " FROM som), "
+    f"axial AS (SELECT *, ((x-px)*(qx-px)+(y-py)*(qy-py)+(z-pz)*(qz-pz))/len ax FROM (SELECT a.*, b.gid, b.section_id, b.segment_id, b.x, b.y, b.z, b.radius, sqrt(power(a.qx-a.px,2)+power(a.qy-a.py,2)+power(a.qz-a.pz,2)) len FROM ask a, ball b WHERE {_MEET})), "
+    "radial AS (SELECT *, sqrt(greatest(0, power(x-px,2)+power(y-py,2)+power(z-pz,2)-ax*ax)) rho FROM axial), "
+    "hit AS (SELECT \"query\", gid, section_id, segment_id FROM apart WHERE dd <= power(r+er, 2) UNION ALL "
+    "SELECT \"query\", gid, section_id, segment_id FROM radial WHERE CASE WHEN ax BETWEEN 0 AND len THEN rho <= r + radius ELSE power(greatest(-ax, ax-len),2) + power(greatest(0, rho-r),2) <= radius*radius END)"
+)
+_ONE_CYLINDER = "asked AS (SELECT 0 \"query\", " + ", ".join(f"{_f(v)} {k}{n}" for k, corner in (("p", LOW), ("q", HIGH)) for n, v in zip("xyz", corner, strict=True)) + f", {_f(0.05)} r)"
+
+
+@query(f"WITH {_SEG}, {_ONE_CYLINDER}, {_CAPSULES} SELECT gid, section_id, segment_id FROM hit")
 def segment_cylinder(spark, d):
     return segments(spark, d).cylinder_query(LOW, HIGH, 0.05, fields=["gid", "section_id", "segment_id"])
 
@@ -358,10 +394,17 @@ def length_histogram(spark, d):
     return histogram.segment_length_histogram(segments(spark, d))
 
 
-@query()
+_PLACES = "place AS (SELECT region, i*64+j*8+k place, " + ", ".join(f"low - {_f(-0.02)} + {c}*0.05::DOUBLE d{n}" for c, n in zip("ijk", "xyz", strict=True)) + " FROM (VALUES (0, -0.2::DOUBLE), (1, 0.1::DOUBLE)) g(region, low), range(8) a(i), range(8) b(j), range(8) c(k))"
+
+
+@query(f"WITH {_SPHERES}, {_PLACES}, free AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY place) n FROM place WHERE NOT EXISTS (SELECT 1 FROM spheres WHERE power(x-dx,2)+power(y-dy,2)+power(z-dz,2) <= power(radius+{_f(0.02)}, 2))) SELECT region, round(dx, 9) dx, round(dy, 9) dy, round(dz, 9) dz FROM free WHERE n = 1")
 def placement(spark, d):
-    move = first_free(spheres(spark, d), ((-0.2, -0.2, -0.2), (0.2, 0.2, 0.2)), Sphere.of((0.0, 0.0, 0.0), 0.02))
-    return spark.createDataFrame([move or (None, None, None)], "dx double, dy double, dz double")
+    """The first free place of a sphere in two regions; a region without one has no row."""
+    index, rows = spheres(spark, d), []
+    for region, (low, high) in enumerate([(-0.2, 0.2), (0.1, 0.5)]):
+        move = first_free(index, ((low,) * 3, (high,) * 3), Sphere.of((0.0, 0.0, 0.0), 0.02))
+        rows += [(region, *[round(v, 9) for v in move])] if move else []
+    return spark.createDataFrame(rows, "region int, dx double, dy double, dz double")
 
 
 @query(f"WITH {_SPHERES}, {_WIN} SELECT \"window\", id FROM win, spheres WHERE id % 7 = 0 AND {_box_gap(['ax', 'ay', 'az'], ['bx', 'b_y', 'bz'])} <= radius*radius AND {_boxes_meet(['ax', 'ay', 'az'], ['bx', 'b_y', 'bz'])}")
@@ -377,7 +420,26 @@ def pack_ids(spark, d):
     return segments(spark, d).elements.where("not is_soma").select("gid", pack_id(F.col("gid"), F.col("section_id"), F.col("segment_id")).alias("packed"))
 
 
-@query()
+def _hilbert_sql() -> str:
+    """Skilling's transform, a subquery for each step: from cells x0, x1, x2 of ten bits to the position."""
+    cell = ", ".join(f"least(1023, greatest(0, floor(({n} - min({n}) OVER ())/(max({n}) OVER () - min({n}) OVER ())*1024)))::BIGINT x{i}" for i, n in enumerate("xyz"))
+    sql = f"SELECT id, {cell} FROM pts"
+    for bit in range(9, 0, -1):
+        p = (1 << bit) - 1
+        for i in range(3):
+            high, swap = f"((x{i} >> {bit}) & 1) = 1", f"(xor(x0, x{i}) & {p})"
+            cols = [f"CASE WHEN {high} THEN xor(x0, {p}) ELSE xor(x0, {swap}) END x0", *[f"CASE WHEN {high} THEN x{k} ELSE xor(x{k}, {swap}) END x{k}" if k == i else f"x{k}" for k in (1, 2)]]
+            sql = f"SELECT id, {', '.join(cols)} FROM ({sql})"
+    sql = f"SELECT id, x0, xor(x0, x1) x1, x2 FROM ({sql})"
+    sql = f"SELECT id, x0, x1, xor(x1, x2) x2 FROM ({sql})"
+    t = "0"
+    for bit in range(9, 0, -1):
+        t = f"xor({t}, CASE WHEN ((x2 >> {bit}) & 1) = 1 THEN {(1 << bit) - 1} ELSE 0 END)"
+    sql = f"SELECT id, xor(x0, t) x0, xor(x1, t) x1, xor(x2, t) x2 FROM (SELECT *, {t} t FROM ({sql}))"
+    return f"SELECT id, ({' + '.join(f'(((x{i} >> {b}) & 1) << {3 * b + 2 - i})' for b in range(10) for i in range(3))})::BIGINT hilbert FROM ({sql})"
+
+
+@query(f"WITH {_PTS} {_hilbert_sql()}")
 def hilbert_order(spark, d):
     return layout.hilbert_order(pts(spark, d).elements, "point").select("id", "hilbert")
 
@@ -399,10 +461,53 @@ def standing_box(spark, d):
     return standing_query(synapses(spark, d).elements, "synapse", Box.of(SYN_LOW, SYN_HIGH)).select("id")
 
 
-@query()
+@query(f"WITH {_SEG}, asked AS (SELECT gid \"query\", px, py, pz, qx, qy, qz, r FROM seg), {_CAPSULES} SELECT \"query\", gid, section_id, segment_id FROM hit")
 def segment_join_cylinders(spark, d):
     """All segments against all elements, as capsules."""
     a = segments(spark, d)
     q = a.elements.where("not is_soma").select(F.col("gid").alias("query"), *[F.col(c).alias(f"s_{c}") for c in (*P1, *P2)], F.col("radius").alias("s_radius"))
     shape = Cylinder.of([f"s_{c}" for c in P1], [f"s_{c}" for c in P2], "s_radius")
     return join.spatial_join(a, q, shape).select("query", "gid", "section_id", "segment_id")
+
+
+@query(f"WITH {_SPHERES} SELECT id, x::FLOAT x, radius::FLOAT radius FROM spheres WHERE {_box_gap(LOW, HIGH)} <= radius*radius")
+def raw_elements(spark, d):
+    return spheres(spark, d).box_query(LOW, HIGH, fields="raw_elements").select("raw_elements.id", "raw_elements.x", "raw_elements.radius")
+
+
+@query(f"WITH {_SEG}, c AS (SELECT gid, {', '.join(f'{_f(v)} - p{n} c{n}, q{n} - p{n} v{n}' for n, v in zip('xyz', CENTRE, strict=True))}, r FROM seg), t AS (SELECT gid, (cx*vx+cy*vy+cz*vz)/nullif(vx*vx+vy*vy+vz*vz, 0) t, cx, cy, cz, vx, vy, vz, r FROM c) SELECT gid, coalesce(t BETWEEN 0 AND 1 AND power(cx-t*vx,2)+power(cy-t*vy,2)+power(cz-t*vz,2) <= r*r, false) AS inside FROM t")
+def cylinder_contains(spark, d):
+    """Which segments hold a point between their flat caps."""
+    inside = Cylinder.of(P1, P2, "radius").contains(Vec.of(CENTRE))
+    return segments(spark, d).elements.where("not is_soma").select("gid", inside.alias("inside"))
+
+
+def _turned(v: tuple[str, str, str]) -> list[str]:
+    """The rotation matrix of the unit quaternion w, x, y, z times a vector."""
+    rows = [("1-2*(y*y+z*z)", "2*(x*y-w*z)", "2*(x*z+w*y)"), ("2*(x*y+w*z)", "1-2*(x*x+z*z)", "2*(y*z-w*x)"), ("2*(x*z-w*y)", "2*(y*z+w*x)", "1-2*(x*x+y*y)")]
+    return [" + ".join(f"({m})*{c}" for m, c in zip(row, v, strict=True)) for row in rows]
+
+
+@query(
+    "WITH q AS (SELECT n_nationkey gid, sqrt(1 + power(n_nationkey%3,2) + power(n_regionkey,2) + 4) size, n_nationkey%3 a, n_regionkey b FROM nation), u AS (SELECT gid, 1/size w, a/size x, b/size y, 2/size z FROM q), "
+    "lib AS (SELECT 0 i, 1.0 lx, 2.0 ly, 3.0 lz UNION ALL SELECT 1, -4.0, 5.0, 0.5 UNION ALL SELECT 2, 2.0, -1.0, 7.0) "
+    f"SELECT gid, i segment_id, {', '.join(f'round({t} + {shift}, 3) {n}' for t, shift, n in zip(_turned(('lx', 'ly', 'lz')), ('gid', '2*gid', '3'), ('p1_x', 'p1_y', 'p1_z'), strict=True))} FROM u, lib WHERE i < 2"
+)
+def rotated_assembly(spark, d):
+    """A small morphology put at each nation, turned by its quaternion."""
+    key = F.col("n_nationkey")
+    nodes = _table(spark, d, "nation").select(key.alias("node_id"), F.lit("m").alias("morphology"), key.cast("float").alias("x"), (2 * key).cast("float").alias("y"), F.lit(3.0).alias("z"), F.lit(1.0).alias("orientation_w"), (key % 3).cast("double").alias("orientation_x"), F.col("n_regionkey").cast("double").alias("orientation_y"), F.lit(2.0).alias("orientation_z"))
+    points = [("m", 1, i, *p, 2.0, 2) for i, p in enumerate([(1.0, 2.0, 3.0), (-4.0, 5.0, 0.5), (2.0, -1.0, 7.0)])]
+    library = spark.createDataFrame(points, "morphology string, section_id int, point_idx int, x double, y double, z double, diameter double, section_type int")
+    centres = spark.createDataFrame([("m", 0.0, 0.0, 0.0, 5.0)], "morphology string, soma_x double, soma_y double, soma_z double, soma_radius double")
+    found = builders.morphologies_from_nodes(nodes, library, centres).elements.where("not is_soma")
+    return found.select("gid", "segment_id", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in P1])
+
+
+@query("SELECT true AS same, false AS other")
+def index_similarity(spark, d):
+    """An index against its own rows in another order, and against one with a sphere moved."""
+    a = spheres(spark, d)
+    b = SpatialIndex.of(a.elements.repartition(5, "id"), "sphere")
+    moved = SpatialIndex.of(a.elements.withColumn("x", F.when(F.col("id") % 2 == 0, F.col("x")).otherwise(-F.col("x"))), "sphere")
+    return spark.createDataFrame([(compare.likely_same(a, b), compare.likely_same(a, moved))], "same boolean, other boolean")

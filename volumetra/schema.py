@@ -32,7 +32,7 @@ GID_BITS, SECTION_BITS, SEGMENT_BITS = 36, 14, 14
 
 
 def conform(df: DataFrame, element_type: str) -> DataFrame:
-    """The type's columns in order, cast; then any others. Coordinates that are NaN are refused when rows are read."""
+    """The type's columns in order, cast; then any others. A NaN meets no box, so such rows are in no result; ``checked`` refuses them."""
     if element_type not in SCHEMAS:
         raise ValueError(f"unknown element type: {element_type!r}")
     fields = SCHEMAS[element_type].fields
@@ -41,10 +41,10 @@ def conform(df: DataFrame, element_type: str) -> DataFrame:
         raise ValueError(f"{element_type} needs columns {missing}")
     own = {f.name for f in fields}
 
-    def column(f):
-        c = F.col(f.name).cast(f.dataType)
-        if isinstance(f.dataType, FloatType):
-            c = F.when(F.isnan(c), F.raise_error(F.lit(f"{f.name} is NaN")).cast("float")).otherwise(c)
-        return c.alias(f.name)
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields], *[F.col(f"`{c}`") for c in df.columns if c not in own])
 
-    return df.select(*[column(f) for f in fields], *[F.col(f"`{c}`") for c in df.columns if c not in own])
+
+def checked(df: DataFrame, element_type: str) -> DataFrame:
+    """Rows on their way into a stored index: a NaN coordinate is an error. Not for tables to be queried, as no filter would pass it to their scan."""
+    guard = lambda c: F.when(F.isnan(c), F.raise_error(F.lit(f"{c} is NaN")).cast("float")).otherwise(F.col(c))
+    return df.withColumns({f.name: guard(f.name) for f in SCHEMAS[element_type].fields if isinstance(f.dataType, FloatType)})

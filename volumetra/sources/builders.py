@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import Vec, rotate
+from ..functions.vectors import Vec, closest_factors, rotate
 from ..operators.index import SpatialIndex
 from ..schema import P1, P2, SCHEMAS, XYZ, conform
 
@@ -27,6 +27,8 @@ def _points(points, what: str) -> np.ndarray:
     out = np.asarray(points, dtype=np.float32)
     if out.ndim != 2 or out.shape[1] != 3:
         raise ValueError(f"{what} must be n x 3")
+    if np.isnan(out).any():
+        raise ValueError(f"{what} hold NaN")
     return out
 
 
@@ -121,6 +123,7 @@ def neuron(spark: SparkSession, gid: int, points, radii, offsets, section_types=
         "offsets must increase": bool((np.diff(offsets) <= 0).any()),
         "the first offset must follow the soma": len(offsets) > 0 and offsets[0] < int(has_soma),
         "an offset is beyond the points": len(offsets) > 0 and offsets[-1] >= len(points),
+        "points after the soma need an offset": len(offsets) == 0 and len(points) > int(has_soma),
         "a branch needs two points": bool((np.diff([*offsets, len(points)]) < 2).any()) if len(offsets) else False,
         "an id is out of range": not 0 <= gid < 1 << 36,
     }
@@ -128,9 +131,11 @@ def neuron(spark: SparkSession, gid: int, points, radii, offsets, section_types=
         if wrong:
             raise ValueError(message)
     parts = []
+    if not len(offsets):
+        log.warning("neuron %d has no branches", gid)
     if has_soma:
         parts.append(somas(spark.createDataFrame([(gid, *[float(v) for v in points[0]], float(radii[0]))], "gid long, x float, y float, z float, radius float")))
-    rows = [(gid, s + 1, i, *[float(v) for v in points[i]], float(radii[i]), int(types[s])) for s, (a, b) in enumerate(zip(offsets, [*offsets[1:], len(points)], strict=True)) for i in range(int(a), int(b))]
+    rows = [(gid, s + 1, i, *[float(v) for v in points[i]], float(radii[i]), int(types[s])) for s, (a, b) in enumerate(zip(offsets, [*offsets, len(points)][1:], strict=True)) for i in range(int(a), int(b))]
     if rows:
         parts.append(branches(spark.createDataFrame(rows, "gid long, section_id int, point_idx int, x float, y float, z float, radius float, section_type int")))
     out = parts[0]
@@ -164,10 +169,18 @@ def synthetic_spheres(spark: SparkSession, n: int, boundary: float, seed: int =
     return SpatialIndex.of(spark.range(n).select("id", *at, (F.rand(seed + 3) * 0.99 + 0.01).cast("float").alias("radius")), "sphere")
 
 
+def synthetic_sizes(n_elements: int) -> tuple[int, int]:
+    """(sections, segments of each) for a number of elements: its divisors nearest to each other."""
+    return closest_factors(n_elements)
+
+
 def synthetic_morphologies(spark: SparkSession, n_sections: int, n_segments: int, boundary: float, seed: int = 0) -> SpatialIndex:
-    """Segments that start uniformly within the boundary and reach up to 10 further, of radius 1, all of gid 0."""
-    rows = spark.range(n_sections * n_segments).select(F.lit(0).cast("long").alias("gid"), (F.col("id") / n_segments).cast("int").alias("section_id"), (F.col("id") % n_segments).cast("int").alias("segment_id"), *[((F.rand(seed + i) * 2 - 1) * boundary).alias(c) for i, c in enumerate(P1)])
-    rows = rows.select("*", *[(F.col(a) + F.rand(seed + 3 + i) * 20 - 10).alias(b) for i, (a, b) in enumerate(zip(P1, P2, strict=True))], F.lit(1.0).alias("radius"), F.lit(2).alias("section_type"), F.lit(False).alias("is_soma"))
+    """Segments that start uniformly within the boundary and reach up to 10 further, of radius 1 and no section type, all of gid 0.
+
+    Section ids go from 1 to ``n_segments`` over and over; every segment id is 0.
+    """
+    rows = spark.range(n_sections * n_segments).select(F.lit(0).cast("long").alias("gid"), (F.col("id") % n_segments + 1).cast("int").alias("section_id"), F.lit(0).alias("segment_id"), *[((F.rand(seed + i) * 2 - 1) * boundary).alias(c) for i, c in enumerate(P1)])
+    rows = rows.select("*", *[(F.col(a) + F.rand(seed + 3 + i) * 20 - 10).alias(b) for i, (a, b) in enumerate(zip(P1, P2, strict=True))], F.lit(1.0).alias("radius"), F.lit(0).alias("section_type"), F.lit(False).alias("is_soma"))
     return SpatialIndex.of(rows, "morphology")
 
 

@@ -1,7 +1,10 @@
 """From raw documents to packed training sequences: the stages, in order, and all of them at once.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept; all but the last return the columns of documents.
+kept; all but the last return the columns of documents, others that ``docs`` has
+included, whatever their names. An empty table gives an empty one. Rows that share
+a doc_id are judged one by one up to near_dedup, which leaves one of them; rows
+without doc_id are never anyone's duplicate. Texts are worked on whole, however long.
 """
 
 from __future__ import annotations
@@ -9,32 +12,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from volumetra.llm import near_dedup, packing, quality_rules, secrets, toxicity
-from volumetra.llm.common import saved, table
+from volumetra.llm.common import saved, scratch, table
 from volumetra.llm.queries import _vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones, predicts toxic go."""
+    """Documents that the classifier, trained on the labelled ones, predicts toxic go. Null and empty texts are clean."""
     return toxicity.without_toxic(docs, docs, table(spark, sf_dir, "labels"))
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that fail go; documents that fail, or lose too much, go."""
+    """Lines that fail go; documents that fail, or lose too much, go, and with them null and empty texts."""
     return quality_rules.clean(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays (sets of 5-word shingles, similarity 0.8 or more)."""
+    """One document of each group stays (sets of 5-word shingles, similarity 0.8 or more): that of the
+    smallest doc_id. Texts without words are in no group."""
     return near_dedup.keep_one(docs, 5)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mask."""
+    """Secrets are replaced by a mask, those that overlap by one. No document goes; null texts stay null."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequences and offsets."""
+    """Token pieces with their sequences and offsets. A null or empty text is one piece, of the end alone."""
     return packing.packed(packing.pieces(docs, _vocabulary("byte_bpe_50k.json")))
 
 
@@ -51,9 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = saved(docs)
-    return docs
+    """All stages, each written and read again; what they wrote goes at the end, but for the result."""
+    with scratch():
+        docs = table(spark, sf_dir, "documents")
+        for _, stage in STAGES[:-1]:
+            docs = saved(stage(spark, docs, sf_dir))
+        return saved(STAGES[-1][1](spark, docs, sf_dir), keep=True)

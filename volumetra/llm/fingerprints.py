@@ -8,8 +8,9 @@ forms, a rank among them is appended, so the fingerprints of documents are equal
 exactly when their canonical forms are.
 
 Null texts count as empty. Rows with a null doc_id keep it; their buckets are not
-compared byte by byte. Repeated rows get the same fingerprint. An empty
-table gives an empty result. Other columns are ignored.
+compared byte by byte. Repeated rows get the same fingerprint; documents of equal
+doc_id follow each other in the order of their texts. A very long text is one row,
+normalised whole. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_partitions, slim, whole_text
+from .common import hot_keys, saved, scratch, shuffle_partitions, slim, spread_join, whole_text
 
 #: Unicode White_Space characters (fixed values).
 UNICODE_SPACES = r"[\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
@@ -49,21 +50,26 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def shared_buckets(docs: DataFrame, digests: DataFrame, bits: int) -> DataFrame:
+def ranked(forms: DataFrame) -> DataFrame:
+    """Of (fingerprint, form) rows, those whose bucket holds different forms, once each, with their rank from 1. Equal forms are merged before the shuffle."""
+    mixed = saved(forms.groupBy("fingerprint").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("fingerprint"))
+    different = forms.join(mixed, "fingerprint", "left_semi").distinct()
+    return different.withColumn("rank", F.row_number().over(Window.partitionBy("fingerprint").orderBy("form")))
+
+
+def shared_buckets(docs: DataFrame, digests: DataFrame, bits: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """Canonical forms ranked within buckets that hold different ones: (fingerprint, form, rank from 1).
 
-    ``digests`` has (doc_id, fingerprint) of all documents. Only documents whose
-    bucket holds several are read again; equal forms are merged before the shuffle.
+    ``digests``, a saved table, has (doc_id, fingerprint) of all documents. Only
+    documents whose bucket holds several are read again.
     """
-    multiple = digests.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
-    ids = saved(digests.join(multiple, "fingerprint", "left_semi").select("doc_id").distinct())
-    if ids.count() <= BROADCAST_IDS:
+    multiple = saved(digests.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1"))
+    ids = spread_join(digests, multiple, "fingerprint", hot=hot_keys(multiple, "fingerprint", "n"))
+    ids = saved(ids.select("doc_id").distinct())
+    if ids.count() <= broadcast_ids:
         ids = F.broadcast(ids)
     forms = slim(docs).join(ids, "doc_id", "left_semi").select(canonical(F.col("text")).alias("form"))
-    forms = forms.select(bucket(F.col("form"), bits).alias("fingerprint"), "form")
-    mixed = saved(forms.groupBy("fingerprint").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("fingerprint"))
-    different = forms.join(mixed, "fingerprint", "left_semi").distinct()
-    return different.withColumn("rank", F.row_number().over(Window.partitionBy("fingerprint").orderBy("form")))
+    return ranked(forms.select(bucket(F.col("form"), bits).alias("fingerprint"), "form"))
 
 
 def fingerprints(docs: DataFrame, bits: int = 128) -> DataFrame:
@@ -77,7 +83,7 @@ def fingerprints(docs: DataFrame, bits: int = 128) -> DataFrame:
         rows = forms.withColumn("fingerprint", bucket(F.col("form"), bits))
         out = rows.join(ranks, ["fingerprint", "form"], "left").select("doc_id", _ranked().alias("fingerprint"))
     smallest = out.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"))
-    return out.join(smallest, "fingerprint").select("doc_id", "fingerprint", "group_id")
+    return spread_join(out, smallest, "fingerprint", hot=hot_keys(digests, "fingerprint")).select("doc_id", "fingerprint", "group_id")
 
 
 def _ranked() -> Column:
@@ -112,8 +118,8 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     return out.where("_to.copy = 0").drop("_to")
 
 
-def edited(docs: DataFrame, bits: int = 128) -> DataFrame:
-    """Per document its digest, its edited text's digest and their likenesses.
+def edited_forms(docs: DataFrame, bits: int = 128) -> DataFrame:
+    """Per document its text, its edited text, their canonical forms and that of the next one, and the two buckets.
 
     The edited text has its last floor(n/2) code points replaced by the first as
     many (or all) of the next document by descending doc_id.
@@ -126,23 +132,33 @@ def edited(docs: DataFrame, bits: int = 128) -> DataFrame:
     half = F.floor(F.char_length("text") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - half), F.substring(F.col("next_text"), F.lit(1), half)))
     rows = rows.select("*", canonical(F.col("text")).alias("form"), canonical(F.col("edited")).alias("edited_form"), canonical(F.col("next_text")).alias("next_form"))
-    return rows.select(
+    return rows.select("*", bucket(F.col("form"), bits).alias("fingerprint"), bucket(F.col("edited_form"), bits).alias("edited_fingerprint"))
+
+
+def edited(forms: DataFrame) -> DataFrame:
+    """Of ``edited_forms``: per document its digest, its edited text's digest and their likenesses."""
+    return forms.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        bucket(F.col("form"), bits).alias("fingerprint"),
-        bucket(F.col("edited_form"), bits).alias("edited_fingerprint"),
+        "fingerprint",
+        "edited_fingerprint",
         # The forms themselves are compared, not only their digests.
         likeness(F.col("form"), F.col("edited_form")).alias("near_edited"),
         likeness(F.col("form"), F.col("next_form")).alias("near_next"),
     )
 
 
-def op1(docs: DataFrame) -> DataFrame:
-    rows = saved(edited(docs))
-    ranks = saved(shared_buckets(docs, rows.select("doc_id", "fingerprint"), 128))
-    if ranks.isEmpty():
-        return rows
-    exact = slim(docs).select("doc_id", canonical(F.col("text")).alias("form")).withColumn("fingerprint", bucket(F.col("form")))
-    exact = exact.join(ranks, ["fingerprint", "form"]).select("doc_id", "fingerprint", "rank").distinct()
-    return rows.join(exact, ["doc_id", "fingerprint"], "left").withColumn("fingerprint", _ranked()).select(*rows.columns)
+def op1(docs: DataFrame, bits: int = 128) -> DataFrame:
+    with scratch():
+        rows = saved(edited(edited_forms(docs, bits)), keep=True)
+        if shared_buckets(docs, rows.select("doc_id", "fingerprint"), bits).isEmpty():
+            return rows
+        # Different texts share a bucket: their forms and the edited texts' are ranked together.
+        forms = edited_forms(docs, bits)
+        both = forms.select(F.explode(F.array(F.struct("fingerprint", "form"), F.struct(F.col("edited_fingerprint").alias("fingerprint"), F.col("edited_form").alias("form")))).alias("f")).select("f.*")
+        ranks = saved(ranked(both))
+        for name, form in (("fingerprint", "form"), ("edited_fingerprint", "edited_form")):
+            own = ranks.select(F.col("fingerprint").alias(name), F.col("form").alias(form), "rank")
+            forms = forms.join(own, [name, form], "left").withColumn(name, F.when(F.coalesce("rank", F.lit(1)) > 1, F.concat_ws("-", name, F.col("rank").cast("string"))).otherwise(F.col(name))).drop("rank")
+        return saved(edited(forms), keep=True)

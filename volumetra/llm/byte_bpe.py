@@ -6,7 +6,13 @@ length, and in every round each row merges its leftmost pair of minimum rank,
 found by a hashed pair lookup; the row is compacted, and rows without a ranked
 pair are finished. Encodings of pieces are kept in a bounded cache.
 
-Null and empty texts have no ids. Repeated rows get equal results.
+Null and empty texts have no ids. A very long text is encoded whole; a piece of
+over ``LONG`` bytes, as a run of letters without a space can be, stands in no matrix
+but merges all occurrences of its minimum-rank pair in a round, from the left: a
+merge makes only pairs of higher rank, so this is what single merges give, in fewer
+rounds. Rows that repeat, or share an id, or have none, are encoded one by one with
+equal results. Of equal ranks in a row the leftmost goes first. An empty table gives
+an empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slim
+from .common import slim, small_batches
 
 #: \s of the tokenizer is Unicode White_Space (fixed values).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -256,6 +262,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
             yield out
 
+    small_batches(docs.sparkSession)
     return slim(docs).mapInPandas(run, schema)
 
 

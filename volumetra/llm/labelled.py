@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slim
+from .common import held_out, slim, small_batches
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> tuple[list[str], np.ndarray, float]:
@@ -35,6 +35,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_c
 
 def scored(docs: DataFrame, score_texts, threshold: float) -> DataFrame:
     """(_row, score, predicted) for every row; ``score_texts`` maps a list of texts to scores."""
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(score_texts(["" if t is None else t for t in texts]), dtype="float64")

@@ -6,8 +6,12 @@ by half, is max-pooled per filter and given a logit. The mean of a document's
 chunk logits, scaled and shifted, is the log odds of label 1. Trained on a
 bounded sample (``PER_CLASS`` rows of each label, texts up to ``MAX_CHARS``).
 
-A null or empty text is one chunk of padding. Without rows of both labels every
-score is the share of label 1.
+A null or empty text is one chunk of padding; a very long one is scored alone, by
+blocks, with the same result. Without rows of both labels every score is the share
+of label 1, a half without any. Equal texts have equal scores, alone or in any
+batch; rows that repeat, or share an id, or have none, are scored one by one. A tie
+of responses goes to the first window, contradicting labels to label 1. An empty
+table gives an empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -1,12 +1,18 @@
 """Toxicity: a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
 Features are the n-grams of ``SIZES`` code points present in the lower-cased text
-(runs of white space folded), hashed to ``BITS`` bits. Their log-count ratios
+(runs of white space folded), hashed to ``BITS`` bits (an n-gram that shares its
+number with another counts as that one). Their log-count ratios
 come from a bounded sample (``PER_CLASS`` rows of each label, texts up to
 ``MAX_CHARS``); the ``FEATURES`` with the most significant ratios enter a
 logistic regression on presence * ratio. A score is the logistic of the sum over
-the whole text, whatever its length; null and empty texts get the score of no
-features. Without rows of both labels, every score is the share of label 1.
+the whole text, whatever its length (a very long one is scored alone); null and
+empty texts get the score of no features. Without rows of both labels, every score
+is the share of label 1, a half without any. Equal texts have equal scores; rows
+that repeat, or share an id, or have none, are scored one by one. Features of equal
+significance are taken in order of their numbers; labels that contradict each other
+count as toxic. An empty table gives an empty result. Other columns are neither
+read nor changed, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,10 +53,9 @@ def train(texts: list[str], y: np.ndarray, odds: float) -> tuple[np.ndarray, flo
     weights = np.zeros(1 << BITS, dtype=np.float32)
     if not 0 < y.sum() < len(y):
         return weights, odds
-    presence = [np.unique(grams(t)) for t in texts]
     counts = np.zeros((2, 1 << BITS))
-    for g, label in zip(presence, y, strict=True):
-        counts[int(label), g] += 1
+    for t, label in zip(texts, y, strict=True):
+        counts[int(label), np.unique(grams(t))] += 1
     n0, n1 = float((y == 0).sum()), float(y.sum())
     p0, p1 = (counts[0] + 0.5) / (n0 + 1), (counts[1] + 0.5) / (n1 + 1)
     ratio = np.log(p1 / p0)
@@ -60,8 +65,8 @@ def train(texts: list[str], y: np.ndarray, odds: float) -> tuple[np.ndarray, flo
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
     x = np.zeros((len(texts), len(chosen)), dtype=np.float32)
-    for i, g in enumerate(presence):
-        at = place[g]
+    for i, t in enumerate(texts):  # found anew, as all texts' n-grams at once would be hundreds of MB
+        at = place[grams(t)]
         x[i, at[at >= 0]] = 1
     x *= ratio[chosen].astype(np.float32)
     w, b = np.zeros(len(chosen)), 0.0

@@ -10,8 +10,11 @@ shards to 25, the new shard is a region of its own: rows move into it alone
 the regions that gain; a weight of whole regions keeps the law.
 
 Slots are ranks within a shard, made from counts of small hash buckets, so no
-task sees a whole shard. Null texts have no bytes. Rows of equal doc_id go to
-one shard; a null doc_id hashes as the text ``null``.
+task sees a whole shard. Null texts have no bytes; of a very long one only its size
+and checksum leave the scan. Rows of equal doc_id go to one shard; a null doc_id
+hashes as the text ``null``. Rows that repeat get a slot each; ties of draws go to
+the smaller number. An empty table gives an empty result. Columns other than doc_id
+and text are not read.
 """
 
 from __future__ import annotations
@@ -37,21 +40,27 @@ def _choose(key: Column, level: str, first: Column, last: Column, weight) -> Col
     return F.array_min(draws)["child"]
 
 
-def shard_of(key: Column, shards: int = SHARDS) -> Column:
-    """The shard that a document's key descends to."""
+def shard_of(key: Column, shards: int = SHARDS, weights: list[float] | None = None) -> Column:
+    """The shard that a document's key descends to; ``weights``, above 0, by shard (1 each)."""
+    own = [1.0] * shards if weights is None else [float(w) for w in weights]
+    if len(own) != shards or min(own) <= 0:
+        raise ValueError("weights must be one a shard, above 0")
     per_region = RACK * REGION
-    below = lambda per: lambda c: F.least(F.lit(per), shards - c * per).cast("double")
+    sums = lambda per: F.lit([sum(own[i : i + per]) for i in range(0, shards, per)])
+    region_weights, rack_weights, shard_weights = sums(per_region), sums(RACK), sums(1)
     regions, racks = -(-shards // per_region), -(-shards // RACK)
-    region = _choose(key, "region", F.lit(0), F.lit(regions - 1), below(per_region))
-    rack = let(region, lambda r: _choose(key, "rack", r * REGION, F.least(r * REGION + REGION - 1, F.lit(racks - 1)), below(RACK)))
-    return let(rack, lambda r: _choose(key, "shard", r * RACK, F.least(r * RACK + RACK - 1, F.lit(shards - 1)), lambda c: F.lit(1.0)))
+    region = _choose(key, "region", F.lit(0), F.lit(regions - 1), lambda c: region_weights[c])
+    rack = let(region, lambda r: _choose(key, "rack", r * REGION, F.least(r * REGION + REGION - 1, F.lit(racks - 1)), lambda c: rack_weights[c]))
+    return let(rack, lambda r: _choose(key, "shard", r * RACK, F.least(r * RACK + RACK - 1, F.lit(shards - 1)), lambda c: shard_weights[c]))
 
 
 def with_slots(rows: DataFrame, group: str, tie: list[str]) -> DataFrame:
     """Adds ``slot``: numbers 0, 1, ... without gaps within each group.
 
     Rows are ranked within (group, hash bucket); the buckets' counts, summed
-    over the buckets before, give the bases. Buckets grow in number with the rows.
+    over the buckets before, give the bases. There are eight buckets for each shuffle
+    partition, so that a group of any size is spread over all tasks; rows that
+    repeat whole are of one bucket.
     """
     parts = 8 * shuffle_partitions(rows.sparkSession)
     rows = rows.withColumn("_part", F.pmod(F.xxhash64(*tie), F.lit(parts)).cast("int"))

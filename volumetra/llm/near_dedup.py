@@ -19,9 +19,18 @@ spanning forest of what passes in a block is confirmed, then, for bands that sti
 hold several components, all that passes. So every pair that shares a band is in
 one component or has been compared.
 
-Texts without words, and null ones, have an empty set and no links. Rows that
-share a doc_id are one node; a row with a null doc_id has a null component and
-is kept. One row results for each input row.
+Texts without words, and null ones, have an empty set and no links; a very long one
+is held by one task at a time. Rows that share a doc_id are one node; a row with a
+null doc_id has a null component and is kept. One row results for each input row,
+repeated ones included; equal sets have equal components; a component's name is its
+smallest doc_id, so that no tie is left. An empty table gives an empty result.
+Columns other than doc_id and text are not read.
+
+What scales and what does not: keys that hold over a thousandth of a table's rows
+(bands, leaders, hubs, digests) meet broadcast rows, fewer than a thousand of them,
+instead of being shuffled to one task, and partners of one text are dealt to groups.
+A band whose many members are mostly unlike each other is compared within itself by
+bitmaps, in blocks spread over tasks: work that grows with the square of such a band.
 """
 
 from __future__ import annotations
@@ -44,7 +53,7 @@ LOWEST, BITS = 512, 2048
 LINK = 80
 BLOCK = 1024
 #: Partners compared with one copy of a text, about.
-GROUP = 256
+GROUP = 64
 #: Ids are broadcast up to this many (8 bytes each); beyond it they are joined.
 BROADCAST_IDS = 4_000_000
 

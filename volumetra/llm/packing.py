@@ -12,8 +12,10 @@ bounds how many any packing needs. Pieces are ranked within their length by coun
 hash buckets (one length may hold most rows) and looked up in the plan, a table of
 bounded size.
 
-Null and empty texts are one piece, of the end token alone. An empty table gives
-an empty result.
+Null and empty texts are one piece, of the end token alone. A very long text is
+encoded whole and cut into pieces. Rows that repeat, or share an id, or have none,
+are packed one by one; equal pieces take their places in any order. An empty table
+gives an empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -28,17 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import apart, words
-from .common import saved, slim
+from .common import saved, slim, small_batches
 from .sharding import with_slots
 
 CAPACITY = 1024
 END_ID = 2
-CACHE = 200_000
-#: Code points encoded at a time (one longer text is encoded whole).
-SLICE = 1_000_000
-#: In place of an encoding: the text with this word is encoded whole.
-ODD = b"odd"
 #: Rates of the weights; rounds at most; the shares of pieces left at which a program is rounded; what a round places at most; worth given up against the best.
 RATES, ROUNDS = (0.001, 0.05), 400
 LEFT = (0.6, 0.3, 0.1, 0.02)
@@ -49,9 +45,8 @@ class Ids:
     """Ids of texts by a byte-level file of the tokenizers library.
 
     The file's ids are its merge ranks, so another implementation of the same
-    merges gives the same ids (a test compares them). New words are encoded as
-    one text, cut again by the lengths of their bytes, and kept while the cache
-    lasts. Special tokens in a text get their own ids, as that library gives.
+    merges gives the same ids (a test compares them). Special tokens in a text get
+    their own ids, as that library gives.
     """
 
     def __init__(self, path: str, pattern: str | None = None):
@@ -67,47 +62,16 @@ class Ids:
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         bytes_of = _byte_letters()
         ranks = {bytes(bytes_of[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in self.special}
-        self.lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-        for token, rank in ranks.items():
-            self.lengths[rank] = len(token)
         self.encoding = tiktoken.Encoding("file", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        # Those that begin with a space follow one another as in a text; the others are encoded one by one.
-        inner = [w for w in new if w[:1] == " "]
-        for w in new:
-            if w[:1] != " ":
-                self.cache[w] = np.array(self.encoding.encode_ordinary(w), dtype="<u4").tobytes()
-        if inner:
-            ids = np.array(self.encoding.encode_ordinary("".join(inner)), dtype="<u4")
-            ends = np.cumsum(self.lengths[ids])
-            cuts = (np.searchsorted(ends, np.cumsum([len(w.encode()) for w in inner]), "right") * 4).tolist()
-            raw = ids.tobytes()
-            self.cache.update(zip(inner, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
-
-    def _special(self, text: str) -> bytes:
-        return b"".join(self.special[p] if p in self.special else np.array(self.encoding.encode_ordinary(p), dtype="<u4").tobytes() for p in self.split.split(text) if p)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cut = [words(t) for t in texts]
-        new = {w for c in cut for w in c} - self.cache.keys()
-        odd = {w for w in new if apart(w)}
-        self.cache.update(dict.fromkeys(odd, ODD))
-        self._learn(list(new - odd))
-        get, out = self.cache.__getitem__, []
-        for t, c in zip(texts, cut, strict=True):
-            found = list(map(get, c))
-            if self.special and any(x in t for x in self.special):
-                out.append(self._special(t))
-            elif ODD in found:
-                out.append(np.array(self.encoding.encode_ordinary(t), dtype="<u4").tobytes())
-            else:
-                out.append(b"".join(found))
-        return out
+
+    def _plain(self, text: str) -> bytes:
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if any(x in text for x in self.special):
+            return b"".join(self.special[p] if p in self.special else self._plain(p) for p in self.split.split(text) if p)
+        return self._plain(text)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -122,18 +86,6 @@ def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
-def _slices(texts: list[str]) -> Iterator[slice]:
-    """Runs of texts of about SLICE code points, each text in one of them."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > SLICE:
-            yield slice(start, i)
-            start, size = i, 0
-        size += len(t) + 1
-    if texts:
-        yield slice(start, len(texts))
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32), and the ids if asked for."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
@@ -144,20 +96,18 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
         for batch in batches:
             rows = []
             keys = batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
-            texts = [t or "" for t in batch["text"]]
-            for part in _slices(texts):
-                for key, raw in zip(keys[part], encode(texts[part]), strict=True):
-                    raw += end
-                    n, start = len(raw) // 4, 0
-                    size = n % capacity or capacity
-                    for piece in range(-(-n // capacity)):
-                        own = raw[4 * start : 4 * (start + size)]
-                        row = (key, piece, start, size, zlib.crc32(own))
-                        rows.append((*row, own) if with_ids else row)
-                        start, size = start + size, capacity
+            for key, text in zip(keys, batch["text"], strict=True):
+                raw = encode(text or "") + end
+                n, start = len(raw) // 4, 0
+                size = n % capacity or capacity
+                for piece in range(-(-n // capacity)):
+                    own = raw[4 * start : 4 * (start + size)]
+                    row = (key, piece, start, size, zlib.crc32(own))
+                    rows.append((*row, own) if with_ids else row)
+                    start, size = start + size, capacity
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
-        encode.cache.clear()  # a worker outlives its task
 
+    small_batches(docs.sparkSession)
     return slim(docs).mapInPandas(run, schema)
 
 

@@ -6,7 +6,10 @@ judges each line by its punctuation, navigation marks and boilerplate phrases,
 removes the lines that fail, and rejects the document if less than
 ``LEAST_KEPT`` of the characters of its lines are left.
 
-Null and empty texts have no words and fail. Repeated rows get equal results.
+Null and empty texts have no words and fail. A very long text, or line, is judged
+whole. Rows that repeat, or share an id, or have none, are judged one by one with
+equal results. An empty table gives an empty result. Other columns are neither read
+nor changed, whatever their names (``clean`` keeps n_chars true where there is one).
 """
 
 from __future__ import annotations

@@ -26,6 +26,7 @@ from .common import let, saved, shuffle_partitions, slim
 
 RACK, REGION = 4, 3
 SHARDS = 24
+BUCKET = 256
 
 
 def _draw(key: Column, level: str, child: Column, weight: Column) -> Column:
@@ -58,12 +59,14 @@ def with_slots(rows: DataFrame, group: str, tie: list[str]) -> DataFrame:
     """Adds ``slot``: numbers 0, 1, ... without gaps within each group.
 
     Rows are ranked within (group, hash bucket); the buckets' counts, summed
-    over the buckets before, give the bases. There are eight buckets for each shuffle
-    partition, so that a group of any size is spread over all tasks; rows that
-    repeat whole are of one bucket.
+    over the buckets before, give the bases. A group has a bucket for each BUCKET of
+    its rows, eight for each shuffle partition at most, so that one of any size is
+    spread over all tasks; rows that repeat whole are of one bucket. ``rows`` is a
+    saved table with a bounded number of groups, whose sizes are broadcast.
     """
-    parts = 8 * shuffle_partitions(rows.sparkSession)
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*tie), F.lit(parts)).cast("int"))
+    most = 8 * shuffle_partitions(rows.sparkSession)
+    sizes = rows.groupBy(group).agg(F.least(F.lit(most), F.ceil(F.count("*") / BUCKET)).alias("_parts"))
+    rows = rows.join(F.broadcast(sizes), group).withColumn("_part", F.pmod(F.xxhash64(*tie), F.col("_parts")).cast("int")).drop("_parts")
     counts = rows.groupBy(group, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

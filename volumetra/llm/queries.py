@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_bpe, fingerprints, katz, near_dedup, packing, quality_classifier, quality_rules, secrets, sharding, toxicity
 from .common import table
+from .sql import ORACLE_SQL  # noqa: F401
 
 
 def _vocabulary(name: str) -> str:
@@ -66,5 +67,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_fingerprints, op2_near_dedup, op3_quality, op4_byte_bpe, op5_secrets, op6_packing, op7_quality_rules, op8_sharding, op9_toxicity, op10_katz)
 }
-
-ORACLE_SQL: dict[str, str] = {}

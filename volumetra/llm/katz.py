@@ -79,8 +79,16 @@ def keys_in(raw: bytes) -> np.ndarray:
 
 
 def floats_out(a: np.ndarray) -> bytes:
-    """Numbers rounded to 36 bits after the leading one, an error of 7e-12 at most, so that two bytes of each compress to nothing."""
-    return shrink((a.view(np.uint64) + np.uint64(1 << 15)) & ~np.uint64((1 << 16) - 1))
+    """Numbers rounded to 36 bits after the leading one, an error of 7e-12 at most, as their distinct values and each one's place among these: many are made of the same few counts."""
+    bits = (a.view(np.uint64) + np.uint64(1 << 15)) & ~np.uint64((1 << 16) - 1)
+    values, at = np.unique(bits, return_inverse=True)
+    head = keys_out(values)
+    return len(head).to_bytes(4, "little") + head + shrink(at.astype(np.uint32))
+
+
+def floats_in(raw: bytes) -> np.ndarray:
+    end = 4 + int.from_bytes(raw[:4], "little")
+    return keys_in(raw[4:end]).view(np.float64)[grow(raw[end:], "u4")]
 
 
 def joined(arrays: list[np.ndarray], dtype: str) -> np.ndarray:
@@ -193,27 +201,37 @@ def _ask(bits: int, order: int):
     return run
 
 
-def _answer(rows: pd.DataFrame) -> pd.DataFrame:
-    """For what each chunk asked of one partition: twice the whole count, and 1 more where the chunk is the n-gram's owner. Counts of counts in a row without chunk."""
-    rows = rows.sort_values("chunk")
-    keys = [keys_in(k) for k in rows["keys"]]
-    found, _, at = distinct(np.concatenate(keys))
-    own = np.concatenate([grow(c, "u4") for c in rows["counts"]])
-    counts = np.bincount(at, weights=own, minlength=len(found)).astype(np.int64)
-    told = 2 * counts[at]
-    learned = np.flatnonzero(own)[::-1]
-    owner = np.full(len(found), -1)
-    owner[at[learned]] = learned  # the first chunk's entry stays
-    told[owner[owner >= 0]] += 1
-    ends = np.cumsum([len(k) for k in keys])
-    out = rows[["chunk", "n", "bucket"]].copy()
-    out["counts"] = [shrink(told[e - len(k) : e].astype("u8")) for k, e in zip(keys, ends, strict=True)]
-    seen = counts[counts > 0]
-    stats = np.concatenate([[len(seen), seen.sum()], np.bincount(np.minimum(seen, MOST_RANK + 1), minlength=MOST_RANK + 2)[1:-1]]).astype(np.int64)
-    value, times = np.unique(seen, return_counts=True) if rows["n"].iloc[0] == 1 else (seen[:0], seen[:0])
-    values = [{"count": int(v), "times": int(t)} for v, t in zip(value, times, strict=True)]
-    row = pd.DataFrame([{"chunk": None, "n": rows["n"].iloc[0], "bucket": rows["bucket"].iloc[0], "counts": None, "stats": stats.tolist(), "values": values}])
-    return pd.concat([out.assign(stats=None, values=None), row], ignore_index=True)
+def _answer(order: int):
+    """For what each chunk asked of one partition: twice the whole count, and 1 more where the chunk is the n-gram's owner. Counts of counts in a row without chunk.
+
+    Of n-grams of the highest order, no histories of others, a count too low to be seen is told as 0.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("chunk")
+        keys = [keys_in(k) for k in rows["keys"]]
+        found, _, at = distinct(np.concatenate(keys))
+        own = np.concatenate([grow(c, "u4") for c in rows["counts"]])
+        counts = np.bincount(at, weights=own, minlength=len(found)).astype(np.int64)
+        told = 2 * counts[at]
+        learned = np.flatnonzero(own)[::-1]
+        owner = np.full(len(found), -1)
+        owner[at[learned]] = learned  # the first chunk's entry stays
+        told[owner[owner >= 0]] += 1
+        n = int(rows["n"].iloc[0])
+        if n == order:
+            told[counts[at] < LEAST[n]] = 0
+        ends = np.cumsum([len(k) for k in keys])
+        out = rows[["chunk", "n", "bucket"]].copy()
+        out["counts"] = [shrink(told[e - len(k) : e].astype("u8")) for k, e in zip(keys, ends, strict=True)]
+        seen = counts[counts > 0]
+        stats = np.concatenate([[len(seen), seen.sum()], np.bincount(np.minimum(seen, MOST_RANK + 1), minlength=MOST_RANK + 2)[1:-1]]).astype(np.int64)
+        value, times = np.unique(seen, return_counts=True) if n == 1 else (seen[:0], seen[:0])
+        values = [{"count": int(v), "times": int(t)} for v, t in zip(value, times, strict=True)]
+        row = pd.DataFrame([{"chunk": None, "n": n, "bucket": rows["bucket"].iloc[0], "counts": None, "stats": stats.tolist(), "values": values}])
+        return pd.concat([out.assign(stats=None, values=None), row], ignore_index=True)
+
+    return run
 
 
 def slope(counts_of_counts: list[int]) -> float:
@@ -314,7 +332,7 @@ def _weights(rows: pd.DataFrame) -> pd.DataFrame:
     """log10 of the backoff weights that chunks want of one partition; 0 after histories without followers."""
     added, wanted = rows[rows["kind"] == "sums"], rows[rows["kind"] == "wanted"]
     keys, _, at = distinct(joined([keys_in(k) for k in added["keys"]], "u8"))
-    total = [np.bincount(at, weights=joined([grow(x, "f8") for x in added[c]], "f8"), minlength=len(keys)) for c in ("a", "b")]
+    total = [np.bincount(at, weights=joined([floats_in(x) for x in added[c]], "f8"), minlength=len(keys)) for c in ("a", "b")]
     alpha = np.append(np.log10(np.maximum(1 - total[0], 1e-300) / np.maximum(1 - total[1], 1e-300)), 0.0)
 
     def of(asked: np.ndarray) -> np.ndarray:
@@ -335,7 +353,7 @@ def _finish(tokens: int):
         n = len(ids)
         numbers = np.frombuffer(s["a"], dtype=np.int64)
         floats = numbers.view(np.float64)
-        weights = joined([grow(x, "f8") for x in answers.sort_values(["n", "bucket"])["weights"]], "f8")
+        weights = joined([floats_in(x) for x in answers.sort_values(["n", "bucket"])["weights"]], "f8")
         code, times = keys_in(s["b"]).astype(np.int64), grow(s["c"], "u4")  # a document's number and a weight's in one
         doc, at = code // max(len(weights), 1), code % max(len(weights), 1)
         score = floats[3 * n :] + np.bincount(doc, weights=weights[at] * times, minlength=n)
@@ -366,7 +384,7 @@ def _parts(docs: DataFrame, learned, order: int) -> tuple[Model, DataFrame]:
     state = saved(rows.mapInPandas(_read, STATE))
     # A task has few cells' worth of partitions, or few chunks, at any size.
     asked = state.mapInPandas(_ask(bits, order), ASKED).repartition(max(1, (order << bits) // 4), "n", "bucket")
-    answers = saved(asked.groupBy("n", "bucket").applyInPandas(_answer, "chunk string, n int, bucket int, counts binary, stats array<long>, values array<struct<count:long,times:long>>"))
+    answers = saved(asked.groupBy("n", "bucket").applyInPandas(_answer(order), "chunk string, n int, bucket int, counts binary, stats array<long>, values array<struct<count:long,times:long>>"))
     stats: dict[int, list[int]] = {}
     told = answers.where("chunk is null").select("n", F.posexplode("stats").alias("i", "x")).groupBy("n", "i").agg(F.sum("x").alias("x"))
     for r in told.orderBy("n", "i").collect():

@@ -20,6 +20,7 @@ from volumetra.operators.shapes import Box, Cylinder, Point, Sphere, intersects
 from volumetra.plans import layout
 from volumetra.queries import ORACLE_SQL, QUERIES
 from volumetra.sources import builders
+from volumetra.sources.swc import read_swc, sections
 from volumetra.streaming import standing_query
 
 SF = "/root/testdata/sf0.001"
@@ -347,6 +348,81 @@ def test_populations(spark, spheres):
         Populations({"a": spheres, "b": builders.empty(spark, "point")})
 
 
+def test_populations_of_one_table_take_one_scan(spark):
+    rows = spark.range(60).select("id", F.col("id").cast("float").alias("x"), F.lit(0.0).cast("float").alias("y"), F.lit(0.0).cast("float").alias("z"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").otherwise("c").alias("kind"))
+    both = Populations.of(rows, "point", "kind")
+    assert both.populations == ["a", "b", "c"] and len(both) == 60
+    box, pair = Box.of((-0.5, -1, -1), (30.5, 1, 1)), lambda d: {(r["population"], r["id"]) for r in d.collect()}
+    for names in (None, "b", ["a", "c"]):
+        assert pair(both.find(box, populations=names)) == pair(both.together(lambda i: i.find(box), names))
+    assert pair(Populations(both.indexes).find(box)) == {("abc"[i % 3], i) for i in range(31)}
+    assert both.find(box)._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert Populations.of(rows, "point", "kind", ["b"]).populations == ["b"]
+    with pytest.raises(ValueError):
+        both.find(box, populations=["d"])
+
+
+def test_cache_has_a_budget(spark, spheres, tmp_path):
+    path = str(tmp_path / "index")
+    layout.write(spheres, path)
+    kept = lambda cache: layout.open_index(spark, path, cache).elements.storageLevel.useMemory
+    assert [kept(c) for c in (False, 0, 10, True)] == [False, False, False, True]
+    spark.catalog.clearCache()
+    assert kept(1 << 30)
+    spark.catalog.clearCache()
+
+
+SWC = """# a cell
+1 1 0 0 0 3 -1
+2 3 1 0 0 1 1
+3 3 2 0 0 .5 2
+4 3 3 1 0 .5 3
+
+5 3 4 1 0 .5 4  # ends
+6 3 3 -1 0 .5 3
+7 4 3 -2 0 .25 6
+8 2 -1 0 0 1 1
+9 2 -2 0 0 1 8
+"""
+
+
+def test_sections_of_swc():
+    found = {}
+    for name, section, i, *place, diameter, kind in sections("cell", SWC):
+        found.setdefault((section, kind), []).append((i, *place, diameter))
+    assert found == {
+        (0, 1): [(0, 0.0, 0.0, 0.0, 6.0)],
+        (1, 3): [(0, 1.0, 0.0, 0.0, 2.0), (1, 2.0, 0.0, 0.0, 1.0)],
+        (2, 3): [(0, 2.0, 0.0, 0.0, 1.0), (1, 3.0, 1.0, 0.0, 1.0), (2, 4.0, 1.0, 0.0, 1.0)],
+        (3, 3): [(0, 2.0, 0.0, 0.0, 1.0), (1, 3.0, -1.0, 0.0, 1.0)],
+        (4, 4): [(0, 3.0, -1.0, 0.0, 1.0), (1, 3.0, -2.0, 0.0, 0.5)],
+        (5, 2): [(0, -1.0, 0.0, 0.0, 2.0), (1, -2.0, 0.0, 0.0, 2.0)],
+    }
+    assert sections("none", "# nothing\n\n") == []
+    assert sections("soma", "1 1 0 0 0 3 -1\n2 1 4 0 0 3 1") == [("soma", 0, 0, 2.0, 0.0, 0.0, 4.0, 1)]
+    long = "1 1 0 0 0 1 -1\n" + "\n".join(f"{i} 2 {i} 0 0 1 {i - 1}" for i in range(2, 20_002))
+    assert len(sections("long", long)) == 20_001
+    for wrong in ("1 1 0 0 0 3", "1 1 0 0 zero 3 -1", "1 2 0 0 0 3 7", "1 2 0 0 0 1 -1\n1 2 0 0 0 1 -1", "1 2 0 0 0 1 2\n2 2 0 0 0 1 1"):
+        with pytest.raises(ValueError, match="bad"):
+            sections("bad", wrong)
+
+
+def test_cells_of_swc_files(spark, tmp_path):
+    (tmp_path / "swc").mkdir()
+    (tmp_path / "swc" / "cell.one.swc").write_text(SWC)
+    (tmp_path / "swc" / "other.SWC").write_text("1 1 5 0 0 2 -1\n2 2 6 0 0 1 1\n3 2 7 0 0 1 2\n")
+    (tmp_path / "swc" / "notes.txt").write_text("no points")
+    library, centres = read_swc(spark, str(tmp_path / "swc"))
+    assert {r["morphology"]: r["soma_radius"] for r in centres.collect()} == {"cell.one": 3.0, "other": 2.0}
+    nodes = spark.createDataFrame([(4, "cell.one", 10.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0), (8, "other", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)], "node_id long, morphology string, x double, y double, z double, orientation_w double, orientation_x double, orientation_y double, orientation_z double")
+    nodes.write.parquet(str(tmp_path / "nodes"))
+    assert cli.main(["build-morphology-swc", str(tmp_path / "nodes"), str(tmp_path / "swc"), str(tmp_path / "out")], spark) == 0
+    rows = layout.open_index(spark, str(tmp_path / "out")).elements.collect()
+    assert {(r["gid"], r["section_id"], r["segment_id"]) for r in rows} == {(4, 0, 0), (4, 1, 0), (4, 2, 0), (4, 2, 1), (4, 3, 0), (4, 4, 0), (4, 5, 0), (8, 0, 0), (8, 1, 0)}
+    at = {(r["gid"], r["section_id"], r["segment_id"]): r for r in rows}
+    assert at[4, 2, 1]["p2_x"] == 14 and at[8, 1, 0]["p1_x"] == -6 and at[8, 0, 0]["p1_x"] == 5 and at[4, 4, 0]["section_type"] == 4
+
+
 def test_circuit(spark, tmp_path):
     nodes = spark.createDataFrame([(4, "m", 10.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), (8, "m", 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0)], "node_id long, morphology string, x double, y double, z double, orientation_w double, orientation_x double, orientation_y double, orientation_z double")
     library = spark.createDataFrame([("m", 1, 0, 1.0, 0.0, 0.0, 2.0, 2), ("m", 1, 1, 2.0, 0.0, 0.0, 4.0, 2)], "morphology string, section_id int, point_idx int, x double, y double, z double, diameter double, section_type int")

@@ -2,6 +2,7 @@
 
     python -m volumetra.cli build-synapses EDGES OUT [--population NAME]
     python -m volumetra.cli build-morphology NODES LIBRARY CENTRES OUT [--population NAME]
+    python -m volumetra.cli build-morphology-swc NODES FOLDER OUT [--population NAME]
     python -m volumetra.cli build-circuit segments|synapses CONFIG OUT [--populations NAME ...]
     python -m volumetra.cli compare LEFT RIGHT
 """
@@ -18,13 +19,14 @@ from pyspark.sql import SparkSession
 from .operators.compare import likely_same
 from .plans.layout import open_index, write, write_populations
 from .sources import builders
+from .sources.swc import read_swc
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     logging.basicConfig(level=os.environ.get("VOLUMETRA_LOG", "WARNING").upper())
     parser = argparse.ArgumentParser(prog="volumetra")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, places in (("build-synapses", ["edges"]), ("build-morphology", ["nodes", "library", "centres"])):
+    for name, places in (("build-synapses", ["edges"]), ("build-morphology", ["nodes", "library", "centres"]), ("build-morphology-swc", ["nodes", "folder"])):
         p = commands.add_parser(name)
         for place in [*places, "out"]:
             p.add_argument(place)
@@ -45,6 +47,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             write(builders.synapses_from_edges(read(a.edges), a.population), a.out)
         case "build-morphology":
             write(builders.morphologies_from_nodes(read(a.nodes), read(a.library), read(a.centres), a.population), a.out)
+        case "build-morphology-swc":
+            write(builders.morphologies_from_nodes(read(a.nodes), *read_swc(spark, a.folder), a.population), a.out)
         case "build-circuit":
             found = builders.circuit_populations(spark, a.config, a.kind)
             names = a.populations or list(found)

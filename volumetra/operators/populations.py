@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,9 @@ from .index import SpatialIndex
 @dataclass(frozen=True)
 class Populations:
     indexes: dict[str, SpatialIndex]
+    #: All elements in one table, and the column of it that names populations; None where each has a table of its own.
+    table: SpatialIndex | None = None
+    column: str = "population"
 
     def __post_init__(self):
         kinds = {i.element_type for i in self.indexes.values()}
@@ -21,10 +24,12 @@ class Populations:
             raise ValueError(f"populations of different element types: {sorted(kinds)}")
 
     @staticmethod
-    def of(elements: DataFrame, element_type: str, column: str = "population") -> Populations:
-        """One index for each value of a column (a few)."""
-        names = [r[0] for r in elements.select(column).distinct().orderBy(column).collect()]
-        return Populations({n: SpatialIndex.of(elements.where(F.col(column) == n).drop(column), element_type) for n in names})
+    def of(elements: DataFrame, element_type: str, column: str = "population", names: list[str] | None = None) -> Populations:
+        """One index for each value of a column (a few); without their names, these are looked up."""
+        if names is None:
+            names = [r[0] for r in elements.select(column).distinct().orderBy(column).collect()]
+        own = {n: SpatialIndex.of(elements.where(F.col(column) == n).drop(column), element_type) for n in names}
+        return Populations(own, SpatialIndex.of(elements, element_type), column)
 
     @property
     def populations(self) -> list[str]:
@@ -62,6 +67,14 @@ class Populations:
             out = part if out is None else out.unionByName(part)
         return out
 
+    def find(self, query, accuracy: str = "best_effort", populations=None) -> DataFrame:
+        """Whole rows that intersect a shape, with a ``population`` column; populations of one table are answered by one scan of it."""
+        names = self._chosen(populations)
+        if self.table is None:
+            return self.together(lambda i: i.find(query, accuracy), names)
+        chosen = replace(self.table, elements=self.table.elements.where(F.col(self.column).isin(names)))
+        return chosen.find(query, accuracy).withColumnRenamed(self.column, "population")
+
     def __getattr__(self, name: str):
         if name in ("box_query", "sphere_query", "cylinder_query", "box_counts", "sphere_counts", "box_empty", "sphere_empty", "bounds", "size", "nearest"):
             return lambda *a, populations=None, population_mode=None, **how: self.each(lambda i: getattr(i, name)(*a, **how), populations, population_mode)

@@ -18,7 +18,7 @@ from ..functions.vectors import balanced_chunk
 from ..operators.index import SpatialIndex
 from ..operators.shapes import element_shape
 from ..schema import BOUNDS, KEYS, META_VERSION, STRUCT_VERSION, XYZ, checked
-from .storage import exists, is_empty_or_new, read_json, saved, write_json
+from .storage import exists, is_empty_or_new, read_json, saved, stored_bytes, write_json
 
 DATA, MANIFEST, META = "elements", "manifest", "meta_data.json"
 LARGEST_PART = 4_000_000
@@ -108,8 +108,13 @@ def resolve(meta_file: str, data: str) -> str:
     return data if data.startswith("/") or "://" in data else f"{meta_file.rpartition('/')[0]}/{data}"
 
 
-def open_index(spark: SparkSession, path: str, cache: bool = False):
-    """A stored index, or the populations of one that has several."""
+def open_index(spark: SparkSession, path: str, cache: bool | int = False):
+    """A stored index, or the populations of one that has several.
+
+    ``cache`` keeps its elements on the executors, in memory or else on their
+    disks; a number is a budget of stored bytes, above which they are read anew by
+    each query.
+    """
     file = meta_path(path)
     if not exists(spark, file):
         raise FileNotFoundError(file)
@@ -119,13 +124,15 @@ def open_index(spark: SparkSession, path: str, cache: bool = False):
     if "multi_population" in meta:
         from ..operators.populations import Populations
 
-        return Populations({name: open_index(spark, resolve(file, p)) for name, p in meta["multi_population"].items()})
+        return Populations({name: open_index(spark, resolve(file, p), cache) for name, p in meta["multi_population"].items()})
     if not 4 <= meta.get("struct_version", STRUCT_VERSION) <= STRUCT_VERSION:
         raise ValueError(f"struct version {meta['struct_version']} cannot be read")
     own = meta["multi_index"]
     elements, manifest = spark.read.parquet(resolve(file, own["heavy_data_path"])), spark.read.parquet(resolve(file, own["manifest"]))
     if meta["element_type"] == "morphology" and "section_type" not in elements.columns:
         elements = elements.withColumn("section_type", F.lit(0))
+    if cache is not True and cache:
+        cache = stored_bytes(spark, resolve(file, own["heavy_data_path"])) <= cache
     index = SpatialIndex(elements.cache() if cache else elements, meta["element_type"], manifest, meta=meta)
     if "extended" in meta:
         e = meta["extended"]

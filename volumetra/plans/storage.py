@@ -45,6 +45,11 @@ def is_empty_or_new(spark: SparkSession, path: str) -> bool:
     return not fs.exists(p) or (fs.getFileStatus(p).isDirectory() and not len(fs.listStatus(p)))
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    fs, p = _fs(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
     fs, p = _fs(spark, path)
     out = fs.create(p, True)

@@ -336,13 +336,13 @@ def attr_join(spark, d):
 @query(f"WITH {_SYN} SELECT l_returnflag population, id FROM syn WHERE l_returnflag IN ('A', 'R') AND {_box_gap(SYN_LOW, SYN_HIGH)} <= 0")
 def population_boxes(spark, d):
     all_ = populations.Populations.of(synapses(spark, d).elements, "synapse", "l_returnflag")
-    return all_.together(lambda i: i.box_query(SYN_LOW, SYN_HIGH, fields="id"), ["A", "R"]).select("population", "id")
+    return all_.find(Box.of(SYN_LOW, SYN_HIGH), populations=["A", "R"]).select("population", "id")
 
 
 @query(f"WITH {_SYN} SELECT l_returnflag population, count(*) n FROM syn WHERE {_away((25.0, 30.0, 5.0))} <= power({_f(6.5)}, 2) GROUP BY l_returnflag")
 def population_counts(spark, d):
     all_ = populations.Populations.of(synapses(spark, d).elements, "synapse", "l_returnflag")
-    return all_.together(lambda i: i.sphere_counts((25.0, 30.0, 5.0), 6.5)).where("n > 0").select("population", "n")
+    return all_.find(Sphere.of((25.0, 30.0, 5.0), 6.5)).groupBy("population").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_SYN} SELECT id, post_gid FROM syn WHERE post_gid IN (SELECT p_partkey FROM part WHERE p_size = 10)")

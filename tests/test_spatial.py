@@ -569,3 +569,57 @@ def test_nan_is_refused_when_an_index_is_written(spark, tmp_path):
     assert [r[0] for r in index.box_query((-1, -1, -1), (1, 1, 1), fields="id").collect()] == [2]
     with pytest.raises(Exception, match="NaN"):
         layout.write(index, str(tmp_path / "n"))
+
+
+def test_hot_cell_is_dealt_out(spark):
+    """All boxes in one cell: pairs come out of several partitions, none lost or twice."""
+    rng = np.random.default_rng(11)
+    corners = ("min_x", "min_y", "min_z", "max_x", "max_y", "max_z")
+
+    def boxes(prefix, key, n, side):
+        low = rng.uniform(0.2, 0.3, (n, 3))
+        box = np.hstack([low, low + side])
+        return box, spark.createDataFrame([(i, *map(float, b)) for i, b in enumerate(box)], f"{key} int, " + ", ".join(f"{prefix}{c} double" for c in corners))
+
+    (x, left), (y, right) = boxes("q_", "q", 700, 0.9), boxes("e_", "e", 5000, 0.001)
+    meet = ((x[:, None, :3] <= y[None, :, 3:]) & (x[:, None, 3:] >= y[None, :, :3])).all(2)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = join.box_pairs(left, right).groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.count_distinct("q", "e").alias("u")).collect()
+    finally:
+        for k, value_ in kept.items():
+            spark.conf.set(k, value_)
+    assert sum(r["n"] for r in got) == sum(r["u"] for r in got) == meet.sum()
+    assert max(r["n"] for r in got) < 0.9 * meet.sum()
+
+
+def test_cylinders_join_by_arrays_as_by_columns(spark, monkeypatch):
+    """Tiles as arrays find what the columns' tests find, in hot cells and sparse ones, with axes of no length, nulls and NaN; fields can be any."""
+    from pyspark.sql.types import StructType
+
+    from volumetra.operators.shapes import condition, element_shape
+
+    monkeypatch.setattr(join, "TILE", 16)
+    rng = np.random.default_rng(12)
+    schema = StructType.fromDDL("gid long, section_id int, segment_id int, p1_x float, p1_y float, p1_z float, p2_x float, p2_y float, p2_z float, radius float, section_type int, is_soma boolean, note string")
+    rows = []
+    for i in range(400):
+        at = rng.uniform(-1, 1, 3) * (1 if i < 200 else 60)
+        end = at if i % 9 == 0 else at + rng.normal(0, 0.3, 3)
+        soma = i % 7 == 0
+        rows.append((i, 0 if soma else 1, 0, *map(float, at), *([None] * 3 if soma else map(float, end)), float(rng.exponential(0.2) * (i % 11 > 0)), 1, soma, None if i % 5 else f"n{i}"))
+    rows += [(900, 1, 0, *[float("nan")] * 3, 0.0, 0.0, 0.0, 1.0, 2, False, "nan"), (901, 1, 0, *[0.0] * 6, None, 2, False, "none"), (902, 1, 0, *[0.0] * 6, 30.0, 2, False, "large")]
+    index = SpatialIndex.of(spark.createDataFrame(rows, schema), "morphology")
+    q = index.elements.where("not is_soma").select(F.col("gid").alias("ask"), *[F.col(c).alias(f"s_{c}") for c in ("p1_x", "p1_y", "p1_z", "p2_x", "p2_y", "p2_z", "radius")])
+    shape = Cylinder.of([f"s_p1_{c}" for c in "xyz"], [f"s_p2_{c}" for c in "xyz"], "s_radius")
+    box_test, exact = condition(shape, element_shape("morphology"))
+    expected = sorted(map(tuple, q.crossJoin(index.elements).where(box_test).where(exact).select("ask", "gid").collect()))
+    joined = join.spatial_join(index, q, shape, fields=["ask", "gid", "note", "section_id"])
+    assert joined.columns == ["ask", "gid", "note", "section_id"]
+    got = joined.collect()
+    assert len(expected) > 1000 and sorted((r["ask"], r["gid"]) for r in got) == expected
+    assert {r["gid"]: r["note"] for r in got} == {r[0]: r[12] for r in rows if r[0] in {g["gid"] for g in got}}
+    assert "FlatMapCoGroupsInArrow" in joined._jdf.queryExecution().executedPlan().toString()
+    assert join.spatial_join(index, q.where("false"), shape).isEmpty() and set(join.spatial_join(index, q, shape).columns) == {*q.columns, *index.elements.columns}

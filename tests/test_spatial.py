@@ -623,3 +623,34 @@ def test_cylinders_join_by_arrays_as_by_columns(spark, monkeypatch):
     assert {r["gid"]: r["note"] for r in got} == {r[0]: r[12] for r in rows if r[0] in {g["gid"] for g in got}}
     assert "FlatMapCoGroupsInArrow" in joined._jdf.queryExecution().executedPlan().toString()
     assert join.spatial_join(index, q.where("false"), shape).isEmpty() and set(join.spatial_join(index, q, shape).columns) == {*q.columns, *index.elements.columns}
+
+
+def test_only_elements_that_differ_meet_the_windows(spark, monkeypatch):
+    """Missing, moved and repeated elements against brute force; those that both indexes have alike are not joined."""
+    rng = np.random.default_rng(13)
+    alike = [(i, *map(float, rng.uniform(0, 1, 3)), 0.05) for i in range(300)]
+    a = alike + [(500 + i, *map(float, rng.uniform(0, 1, 3)), 0.1) for i in range(40)] + [(700, 0.5, 0.5, 0.5, 0.1)] * 2 + [(701, 0.5, 0.5, 0.5, 0.1), (None, 0.2, 0.2, 0.2, 0.1)]
+    b = alike[::-1] + [(500 + i, *map(float, rng.uniform(0, 1, 3)), 0.1) for i in range(20)] + [(700, 0.5, 0.5, 0.5, 0.1)] + [(701, 0.4, 0.5, 0.5, 0.1)] * 3 + [(999, 0.5, 0.5, 0.5, 9.0)]
+    left, right = (SpatialIndex.of(spark.createDataFrame(r, "id long, x float, y float, z float, radius float"), "sphere") for r in (a, b))
+    at = rng.uniform(0, 1, (30, 3))
+    windows = spark.createDataFrame([(i, *map(float, p - 0.15), *map(float, p + 0.15)) for i, p in enumerate(at)], "window int, ax double, ay double, az double, bx double, by double, bz double")
+    joined, real = [], compare.spatial_join
+    monkeypatch.setattr(compare, "spatial_join", lambda index, *rest, **more: joined.append(index.elements.count()) or real(index, *rest, **more))
+
+    def inside(rows, half):
+        found = {}
+        for i, *p, r in rows:
+            p, r = np.float32(p).astype(float), float(np.float32(r))
+            for w, c in enumerate(at):
+                if (np.maximum(np.abs(p - c) - half, 0) ** 2).sum() <= r * r:
+                    found[w, i] = found.get((w, i), 0) + 1
+        return found
+
+    for slack in (0.0, 0.02, -0.05):
+        n, m = inside(a, 0.15), inside(b, 0.15 + slack)
+        expected = {k for k, v in n.items() if v > m.get(k, 0)}
+        got = [tuple(r) for r in compare.missing_in_windows(left, right, windows, slack).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
+        if slack >= 0:
+            assert sum(joined) < 60
+        joined.clear()
